@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

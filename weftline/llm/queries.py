@@ -2,10 +2,20 @@
 
 from weftline.llm.bpe import op6_bpe
 from weftline.llm.chat import OP4_SQL, op4_chat_formatting
+from weftline.llm.html_text import op7_html_extraction
+from weftline.llm.langid import op9_language_id
+from weftline.llm.ngram_join import op10_ngram_join
+from weftline.llm.toxicity import op3_toxicity
+from weftline.llm.urls import op8_url_filters
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_bpe": op6_bpe,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filters": op8_url_filters,
+    "op9_language_id": op9_language_id,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {"op4_chat_formatting": OP4_SQL}
