@@ -10,11 +10,11 @@ Sets of word shingles that are alike in at least `threshold` are linked exactly.
   The boundary is the size at which lists become cheaper, by a cost over the global
   histogram of sizes and the measured length of the lists. Light sets that may link
   with a heavy one are in the lists too.
-* A list is not expanded into all its pairs. Each round links members to one hub of
-  the list and verifies those pairs; components that the links make are joined; a
-  list whose members are in one component is done. What is left after the rounds,
-  pairs of different components that share a signature and fit in size, is then
-  verified pair by pair, so that no link between components is lost.
+* A long list is not expanded into all its pairs. Each round pairs its members with
+  one hub of the list and verifies those pairs; components that the links make are
+  joined; a list whose members are in one component is done. What is left, pairs of
+  different components that share signatures, as many as they must, and fit in size,
+  is then verified pair by pair, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.graph import connected_components
@@ -40,8 +40,11 @@ THRESHOLD = (75, 100)
 FREQUENT = 50_000
 #: Rows of one worker step that must share a shingle for it to be counted as frequent.
 LOCAL = 4
-#: Rounds of hubs before the remaining pairs are verified one by one.
-ROUNDS = 3
+#: Rounds of hubs before the remaining pairs are verified one by one, and members of a
+#: list from which on it takes part in them.
+ROUNDS, LONG = 2, 32
+#: Slots of the map that tells workers which rows' sets are asked for.
+SLOTS = 1 << 21
 #: Largest size at which the boundary between light and heavy may lie.
 LIGHT_MAX = 24
 
@@ -136,34 +139,34 @@ def signatures(found: np.ndarray, frequent: np.ndarray, light: int, threshold: t
     return np.concatenate(parts)
 
 
-def _sets(df: DataFrame, size: int) -> DataFrame:
-    """(key, n, name) of every row."""
+def _read(df: DataFrame, size: int) -> DataFrame:
+    """One reading of every text: a row (key, n, name) for each, and beside them rows
+    (n, shingle) with how many texts of a worker's step hold a shingle, where these are
+    LOCAL or more. Every row is counted; equal texts of a step count once."""
     kind = df.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             found = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([name_of(x) if len(x) else None for x in found], pa.int64())], ["key", "n", "name"])
+            names = [name_of(x) if len(x) else None for x in found]
+            rows = len(names)
+            empty = pa.nulls(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array(names, pa.int64()), empty], ["key", "n", "name", "shingle"])
+            own = [x for x in dict(zip(names, found)).values() if len(x)]
+            if own:
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                often = n >= LOCAL
+                rows = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, batch.schema.field("key").type), pa.array(n[often].astype(np.int64)), pa.nulls(rows, pa.int64()), pa.array(h[often].view(np.int64))], ["key", "n", "name", "shingle"])
 
-    return df.mapInArrow(run, f"key {kind}, n long, name long")
+    return df.mapInArrow(run, f"key {kind}, n long, name long, shingle long")
 
 
-def _frequent(df: DataFrame, size: int) -> tuple[np.ndarray, float]:
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, float]:
     """The most frequent shingles, and the mean length of an inverted list met by a
-    posting of those counted. Every row is counted: a worker adds up its steps, each
-    step passing on what LOCAL of its rows share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found = {(x := shingles(t, size)).tobytes(): x for t in set(batch.column("text").to_pylist())}
-            if found:
-                h, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
-                often = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
-
-    counted = df.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # bounded by FREQUENT
-    kept = np.sort(np.array([r.h for r in most], np.int64).view(np.uint64))
+    posting of those counted."""
+    most = counted.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()  # bounded by FREQUENT
+    kept = np.sort(np.array([r.shingle for r in most], np.int64).view(np.uint64))
     counts = np.array([r.n for r in most], float)
     return kept, float((counts**2).sum() / counts.sum()) if len(counts) else 1.0
 
@@ -191,15 +194,29 @@ def _posted(df: DataFrame, size: int, frequent: np.ndarray, light: int, threshol
     return df.select("text").mapInArrow(run, "sig long, name long, n int")
 
 
-def _arrays(df: DataFrame, size: int) -> DataFrame:
-    """(name, items): the shingles of each row's text."""
+def _items(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(name, items): the shingles of each set that a pair names, from one of its rows.
+
+    Which rows those are, by a hash of the key in SLOTS slots, is all that is sent to
+    the workers; of the rows that pass, sets that no pair names fall out in a join."""
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    wanted = materialize(names.join(nodes.select("name", "first"), "name"))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(SLOTS)).cast("int")
+    bitmap = np.zeros(SLOTS, bool)
+    bitmap[[r.slot for r in wanted.select(slot("first").alias("slot")).distinct().collect()]] = True
+    held = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "items"])
+        passing = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            kept = batch.filter(pa.array(passing[batch.column("slot").to_numpy()]))
+            for part in steps(iter([kept])):
+                found = [x for t in part.column("text").to_pylist() if len(x := shingles(t, size))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "items"])
 
-    return df.select("name", "text").mapInArrow(run, "name long, items binary")
+    found = rows.select(slot("key").alias("slot"), "text").mapInArrow(run, "name long, items binary")
+    return materialize(found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]))
 
 
 def _verified(pairs: DataFrame, items: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -236,53 +253,61 @@ def link_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     of those that share a signature with another, and pairs."""
     over, under = threshold
     rows = narrow(df, key=key, text=text)
-    sets = materialize(_sets(rows, size))
-    named = sets.where("name is not null and key is not null")
-    nodes = named.groupBy("name").agg(F.min("key").alias("first"), F.first("n").alias("n"))
+    read = materialize(_read(rows, size))
+    sets = read.where("shingle is null").select("key", "n", "name")
+    nodes = materialize(sets.where("name is not null and key is not null").groupBy("name").agg(F.min("key").alias("first"), F.first("n").alias("n")))
     sizes = {r.n: r.sets for r in nodes.where(F.col("n") <= 4 * LIGHT_MAX).groupBy("n").agg(F.count("*").alias("sets")).collect()}  # at most 4 * LIGHT_MAX rows
-    keyed = rows.where("key is not null")
-    frequent, list_length = _frequent(keyed, size)
+    frequent, list_length = _frequent(read.where("shingle is not null"))
     light = boundary(sizes, list_length, threshold)
 
-    posted = _posted(keyed, size, frequent, light, threshold)
-    shared = posted.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("sig")
-    lists = materialize(posted.join(shared, "sig").groupBy("sig", "name").agg(F.first("n").alias("n")))
-
-    # The sets that share any signature, each from one of its rows.
-    wanted = lists.select("name").distinct().join(nodes.select("name", F.col("first").alias("key")), "name")
-    texts = keyed.join(wanted, "key").dropDuplicates(["name"])
-    items = materialize(_arrays(texts, size))
-
-    def fits(a: str, b: str):
-        return (F.col(a) * under >= F.col(b) * over) & (F.col(b) * under >= F.col(a) * over)
-
-    tested = links = None
-    live = lists.withColumn("component", F.col("name"))
-    for number in range(ROUNDS + 1):
-        if number < ROUNDS:
-            by = F.struct(F.xxhash64("name", F.lit(number)).alias("h"), F.col("name").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-            hubs = live.groupBy("sig").agg(F.min(by).alias("by")).select("sig", "by.*")
-            pairs = live.join(hubs, "sig").where((F.col("component") != F.col("hub_component")) & fits("n", "hub_n"))
-            pairs = pairs.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b"))
-        else:
-            other = live.select("sig", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            pairs = live.join(other, "sig").where((F.col("name") < F.col("other")) & (F.col("component") != F.col("other_component")) & fits("n", "other_n"))
-            pairs = pairs.select(F.col("name").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    rows = rows.where("key is not null")
+    posted = _posted(rows, size, frequent, light, threshold)
+    every = Window.partitionBy("sig")
+    posted = posted.withColumns({"low": F.min("name").over(every), "high": F.max("name").over(every)}).where("low <> high")
+    lists = materialize(posted.groupBy("sig", "name").agg(F.first("n").alias("n")))
+
+    def fit(pairs: DataFrame) -> DataFrame:
+        """(a, b) of (a, n, b, m), a row for each signature shared, whose sizes fit and
+        that share as many signatures as they must: of two sets in single-shingle
+        lists, all that they have in common beyond their shared signatures lies behind
+        the beginning of one of them."""
+        lo = lambda c: F.greatest(F.lit(1), F.expr(f"({c} * {over}L + {under - 1}) div {under}"))
+        pairs = pairs.where((F.col("n") * under >= F.col("m") * over) & (F.col("m") * under >= F.col("n") * over))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+        must = F.expr(f"((n + m) * {over}L + {over + under - 1}) div {over + under}") - F.greatest(lo("n"), lo("m")) + 1
+        return pairs.where((F.greatest("n", "m") <= light) | (F.col("shared") >= must)).select("a", "b")
+
+    def joined(links: DataFrame | None) -> DataFrame:
+        """Lists whose members lie in several components."""
+        if links is None:
+            return lists.withColumn("component", F.col("name"))
+        classes = links.select(F.col("a").alias("name"), F.col("b").alias("joined"))
+        now = lists.join(classes, "name", "left").withColumn("component", F.coalesce("joined", "name")).drop("joined")
+        mixed = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+        return materialize(now.join(mixed, "sig", "left_semi"))
+
+    def verify(pairs: DataFrame, links: DataFrame | None) -> DataFrame | None:
         pairs = materialize(pairs)
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = _verified(pairs, items, threshold)
-            links = materialize(found if links is None else links.unionByName(found))
-            links = connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("b"))
-        if number < ROUNDS and links is not None:
-            live = lists.join(links.select(F.col("a").alias("name"), F.col("b").alias("joined")), "name", "left").withColumn("component", F.coalesce("joined", "name")).drop("joined")
-            mixed = live.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-            live = materialize(live.join(mixed, "sig", "left_semi"))
-        if live.isEmpty():
+        if pairs.isEmpty():
+            return links
+        found = materialize(_verified(pairs, _items(rows, pairs, nodes, size), threshold))
+        both = found if links is None else links.unionByName(found)
+        return connected_components(both).select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    links = None
+    for number in range(ROUNDS):
+        live = joined(links)
+        by = F.struct(F.xxhash64("name", F.lit(number)).alias("h"), F.col("name").alias("hub"), F.col("n").alias("m"), F.col("component").alias("hub_component"))
+        hubs = live.groupBy("sig").agg(F.min(by).alias("by"), F.count("*").alias("members")).where(F.col("members") > LONG).select("sig", "by.*")
+        pairs = live.join(hubs, "sig").where("component <> hub_component")
+        before = links
+        links = verify(fit(pairs.select(F.col("name").alias("a"), "n", F.col("hub").alias("b"), "m")), links)
+        if links is before:
             break
+    live = joined(links)
+    other = live.select("sig", F.col("name").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = live.withColumnRenamed("name", "a").join(other, "sig").where("a < b and component <> other")
+    links = verify(fit(pairs.select("a", "n", "b", "m")), links)
 
     if links is not None:
         held = nodes.join(links.select(F.col("a").alias("name"), F.col("b").alias("root")), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))
