@@ -97,7 +97,8 @@ def fit(df: DataFrame, key: str, text: str, lang: str, rows: int = TRAIN_ROWS) -
     over. The sample is taken by a distributed top-k; workers count its buckets per
     language, and the driver gets the counts of at most MAX_LANGUAGES languages."""
     labelled = narrow(df, key=key, text=text, lang=lang).where("text is not null and lang is not null")
-    chosen = labelled.select("key", "lang", "text").orderBy(F.xxhash64(F.col("key").cast("string")), "key", "lang", F.xxhash64("text")).limit(rows)
+    order = [F.xxhash64(F.col("key").cast("string")), "key", "lang", "said"]
+    chosen = labelled.select("key", "lang", F.xxhash64("text").alias("said")).distinct().orderBy(*order).limit(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -112,10 +113,10 @@ def fit(df: DataFrame, key: str, text: str, lang: str, rows: int = TRAIN_ROWS) -
         for name in held:
             yield pa.RecordBatch.from_pydict({"lang": [name], "docs": [docs[name]], "counts": [held[name].astype("<i8").tobytes()]})
 
-    # The keys of the chosen rows go back to the table by a join, so that counting runs
-    # on many tasks and no single one holds the texts of the sample.
-    names = chosen.select("key", "lang").distinct()
-    sample = labelled.join(F.broadcast(names), ["key", "lang"], "left_semi")
+    # What was chosen, keys and a hash of the text, goes back to the table by a join, so
+    # that texts are not sorted and counting runs on many tasks; equal rows teach once.
+    said = labelled.withColumn("said", F.xxhash64("text"))
+    sample = said.join(F.broadcast(chosen), ["key", "lang", "said"], "left_semi").groupBy("key", "lang", "said").agg(F.min("text").alias("text"))
     parts = sample.select("text", "lang").mapInArrow(count, "lang string, docs long, counts binary")
     merged: dict[str, tuple[int, np.ndarray]] = {}
     for r in parts.toLocalIterator():
