@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import fixed
 
@@ -66,7 +67,7 @@ def crossings(signal: Column) -> Column:
     return F.when(F.size(signal) >= 2, F.round(_mean(pairs), 5))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spectral_flatness(signal: pd.Series, frame: pd.Series) -> pd.Series:
     """Mean over frames of geometric by arithmetic mean of the power spectrum."""
 

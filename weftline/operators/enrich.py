@@ -14,7 +14,7 @@ def classify(skills: Column) -> tuple[Column, Column]:
     """(category, share) of a comma-separated list: the vocabulary with most hits (the
     first of equals), and its share of all hits; generalist without a hit or below
     the floor."""
-    tokens = F.filter(F.transform(F.split(F.lower(F.coalesce(skills, F.lit(""))), ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.lower(F.coalesce(skills, F.lit(""))), ","), lambda t: F.trim(t)), lambda t: t != "")
     tokens = F.array_distinct(tokens)
     hits = {c: F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]))) for c, words in fixed.CATEGORY_WORDS.items()}
     total = sum(hits.values(), F.lit(0))

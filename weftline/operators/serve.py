@@ -57,7 +57,7 @@ def duplicate_uploads(submissions: DataFrame) -> DataFrame:
 
 
 def accepted_categories(updates: DataFrame, person: DataFrame) -> DataFrame:
-    """updates (person_id, skill_category, confidence, tagged_by, at) with status 200,
+    """updates (person_id, skill_category, confidence, tagged_by, told_at) with status 200,
     404 (no such person) or 422 (no such category), and the category brought to form."""
     known = person.select("person_id", F.lit(True).alias("known"))
     made = updates.join(known, "person_id", "left").withColumn("category", fields.category(F.col("skill_category")))
@@ -67,7 +67,7 @@ def accepted_categories(updates: DataFrame, person: DataFrame) -> DataFrame:
 def latest_category(updates: DataFrame, person: DataFrame) -> DataFrame:
     """Persons with the last accepted update, as an overlay: nothing is overwritten."""
     good = accepted_categories(updates, person).where("status = 200")
-    last = good.groupBy("person_id").agg(F.max_by(F.struct("category", "confidence", "tagged_by"), F.struct("at", "category")).alias("u"))
+    last = good.groupBy("person_id").agg(F.max_by(F.struct("category", "confidence", "tagged_by"), F.struct("told_at", "category")).alias("u"))
     return person.join(last, "person_id", "left").select(*[person[c] for c in person.columns], F.col("u.category").alias("skill_category"), F.col("u.confidence").alias("skill_category_conf"), F.col("u.tagged_by").alias("skill_category_by"))
 
 

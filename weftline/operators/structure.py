@@ -41,7 +41,7 @@ def repair(rows: DataFrame, header: list[str], email_at: int | None = None, name
     wide = F.slice(F.concat("cells_raw", F.array_repeat(F.lit(""), width)), 1, width)
     rows = rows.withColumn("padded", wide)
     rows = rows.withColumn("cells", F.when(F.col("kind") == "row", rotate(F.col("padded"), email_at) if email_at is not None else F.col("padded")).otherwise(F.col("cells_raw")))
-    shown = F.transform("cells", F.trim)
+    shown = F.transform("cells", lambda c: F.trim(c))
     rows = rows.withColumn("digest", F.xxhash64(F.when(F.col("kind") == "row", F.array_join(F.transform(shown, F.lower) if fold_case else shown, "\x1f")).otherwise(F.concat(F.lit("row "), F.col("row_no").cast("string")))))
     first = F.min(F.when(F.col("kind") == "row", F.col("row_no"))).over(Window.partitionBy("source", "digest"))
     rows = rows.withColumn("first_row", first)
