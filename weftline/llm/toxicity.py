@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import narrow, remainder, steps
-from weftline.runtime import table
+from weftline.runtime import materialize, table
 
 #: Labelled rows of each class that a lexicon is learnt from at most, those first by
 #: a hash of the key; entries that it keeps at most.
@@ -118,26 +118,30 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * features[0] + c * features[1]))))
 
 
-def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """(key, toxic) of at most `rows` of each class, by hash of the key."""
+def _sample(texts: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(key, text, toxic) of at most `rows` keys of each class, by hash of the key. Only
+    keys and labels are joined and sorted; what is chosen, at most 2 * rows of them,
+    is sent to the texts. Of several texts of a key the first in order teaches."""
+    known = labels.join(texts.where("text is not null").select("key"), "key", "left_semi").distinct()
     order = [F.xxhash64(F.col("key").cast("string")), "key"]
-    pick = lambda label: labelled.where(F.col("toxic") == label).select("key", "toxic").distinct().orderBy(*order).limit(rows)
-    return pick(1).unionByName(pick(0))
+    pick = lambda label: known.where(F.col("toxic") == label).orderBy(*order).limit(rows)
+    chosen = pick(1).unionByName(pick(0))
+    return texts.where("text is not null").join(F.broadcast(chosen), "key").groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
 
-def learn(df: DataFrame, key: str, text: str, toxic: str, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from at most `rows` labelled rows of each class.
+def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from at most `rows` labelled rows of each class: texts (key, text)
+    with labels (key, toxic).
 
-    Rows with a null key, text or label are passed over. Every word beginning of
-    SHORTEST to LONGEST letters, and every whole word, is counted by the rows of
-    either class that hold it; an entry is the shortest beginning that is pure enough
-    and no accident, or the longer one that is nearly always meant by it, weighted by its log odds. The coefficients are those of a
+    Rows with a null key, text or label, and labels other than 0 and 1, are passed
+    over. Every word beginning of SHORTEST to LONGEST letters, and every whole word,
+    is counted by the rows of either class that hold it; an entry is the shortest
+    beginning that is pure enough and no accident, or the longer one that is nearly
+    always meant by it, weighted by its log odds. The coefficients are those of a
     logistic regression on the same rows. Too few toxic rows give an empty lexicon,
     whose scores are all low."""
-    labelled = narrow(df, key=key, text=text, toxic=toxic).where("key is not null and text is not null and toxic in (0, 1)")
-    names = _sample(labelled, rows)
-    # At most 2 * rows keys and labels are sent; the texts stay where they are.
-    sample = labelled.join(F.broadcast(names), ["key", "toxic"], "left_semi").select("key", "text", "toxic").dropDuplicates(["key"])
+    known = narrow(labels, key=key, toxic=toxic).where("key is not null and toxic in (0, 1)")
+    sample = materialize(_sample(narrow(texts, key=key, text=text), known, rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
@@ -245,9 +249,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learn_documents(documents: DataFrame, labels: DataFrame) -> Lexicon:
     """From the documents' texts and `labels.toxic`, held-out rows aside."""
-    known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("taught"))
-    texts = documents.where(~held_out()).select("doc_id", "text")
-    return learn(texts.join(known, "doc_id"), "doc_id", "text", "taught")
+    return learn(documents, labels.where(~held_out()))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
