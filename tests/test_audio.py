@@ -44,6 +44,22 @@ def test_properties(spark, files):
     assert clean.sha256 == rows["copy.wav"].sha256
 
 
+def test_submissions_find_or_add_their_person(spark, files):
+    from weftline.operators import serve
+
+    known = audio.properties(decode(uploads(spark, f"file://{files}")), flat=False)
+    paths = sorted(r.path for r in known.select("path").collect())
+    phones = ["9000000001", "+919000000007", "09000000007", None, None, "1"]
+    forms = spark.createDataFrame([(p, i + 1, f"name {i % 5}", t) for i, (p, t) in enumerate(zip(paths, phones))], "path string, submission_id long, submitted_name string, submitted_phone string")
+    person = spark.createDataFrame([(4, "Asha Rao")], "person_id long, full_name string")
+    held = spark.createDataFrame([(4, "+919000000001")], "person_id long, phone string")
+    rows, people = serve.submit(known, forms, held, person)
+    got = {r.submission_id: (r.person_id, r.matched_by) for r in rows.collect()}
+    assert got[1] == (4, "phone") and got[2][0] == got[3][0] == 5 and len({p for p, _ in got.values()}) == len(people.collect()) + 1
+    assert {r.person_id for r in people.collect()} == {p for p, m in got.values() if m == "new_person"}
+    assert serve.duplicate_uploads(rows).count() == 1
+
+
 def test_wav_kinds():
     x = np.array([0.0, 0.5, -0.5, 0.25])
     for bits, tag in ((8, 1), (16, 1), (24, 1), (32, 1), (32, 3), (64, 3)):

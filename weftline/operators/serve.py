@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import fields, fixed
+from weftline.operators.survive import dense_ids
 
 
 def list_people(full: DataFrame, untagged: bool = False, limit: int = 200) -> DataFrame:
@@ -50,6 +51,27 @@ def resolve_submitters(submissions: DataFrame, phones: DataFrame) -> DataFrame:
     return asked.join(held, "pkey", "left").withColumn("matched_by", F.when(F.col("person_id").isNotNull(), "phone").otherwise("new_person")).drop("pkey")
 
 
+def new_people(resolved: DataFrame, person: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """resolve_submitters() with everyone placed, and the persons to add: one for each
+    phone without a person (for each name where there is no phone), numbered after
+    those there are, in no source, matched by `audio_app`."""
+    mark = F.coalesce(fields.phone_key(F.col("submitted_phone")), F.concat(F.lit("name "), F.coalesce(fields.name_key(F.col("submitted_name")), F.lit(""))))
+    open_ = resolved.where("person_id is null").withColumn("mark", mark)
+    first = open_.groupBy("mark").agg(F.min("submission_id").alias("submission"), F.min_by("submitted_name", "submission_id").alias("name"), F.min_by("submitted_phone", "submission_id").alias("phone"))
+    top = person.agg(F.coalesce(F.max("person_id"), F.lit(0)).alias("top")).withColumn("_", F.lit(1))
+    made = dense_ids(first, "submission", "at").withColumn("_", F.lit(1)).join(F.broadcast(top), "_").withColumn("person_id", F.col("top") + F.col("at"))
+    people = made.select("person_id", fields.name(F.col("name")).value.alias("full_name"), fields.phone(F.col("phone")).value.alias("primary_phone"), F.lit(0).alias("source_count"), F.lit("audio_app").alias("match_methods"))
+    placed = open_.drop("person_id").join(made.select("mark", "person_id"), "mark").select(resolved.columns)
+    return resolved.where("person_id is not null").unionByName(placed), people
+
+
+def submit(properties: DataFrame, forms: DataFrame, phones: DataFrame, person: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions to append, and persons to add: audio.properties() of uploads with
+    their forms (path, submission_id, submitted_name, submitted_phone)."""
+    resolved = resolve_submitters(properties.join(forms, "path"), phones)
+    return new_people(resolved, person)
+
+
 def duplicate_uploads(submissions: DataFrame) -> DataFrame:
     """(submission_id, duplicate_of): uploads whose bytes an earlier one had."""
     first = submissions.groupBy("sha256").agg(F.min("submission_id").alias("duplicate_of"))

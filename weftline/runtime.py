@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,5 +55,27 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, where their path does not
+    have it: the driver neither runs in its folder nor names it in PYTHONPATH."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    named = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in (*named, Path.cwd()) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "weftline").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
