@@ -32,7 +32,7 @@ SHORTEST, LONGEST = 3, 10
 #: What an entry needs: toxic rows that hold it, its share of toxic among the rows
 #: that hold it, and how improbable that is by chance. A longer beginning that SAME of an
 #: entry's toxic rows hold takes its place.
-LEAST_ROWS, PURITY, CHANCE, SAME = 4, 0.75, 1e-5, 0.95
+LEAST_ROWS, PURITY, CHANCE, SAME = 4, 0.97, 1e-5, 0.95
 
 #: Characters that look like Latin letters, and digits and signs that
 #: stand for letters.
