@@ -11,10 +11,10 @@ Sets of word shingles that are alike in at least `threshold` are linked exactly.
   histogram of sizes and the measured length of the lists. Light sets that may link
   with a heavy one are in the lists too.
 * A long list is not expanded into all its pairs. Each round pairs its members with
-  one hub of the list and verifies those pairs; components that the links make are
+  a few hubs of the list and verifies those pairs; components that the links make are
   joined; a list whose members are in one component is done. What is left, pairs of
-  different components that share signatures, as many as they must, and fit in size,
-  is then verified pair by pair, so that no link between components is lost.
+  different components that meet in lists, as many as they must, and fit in size, is
+  then verified pair by pair, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.graph import connected_components
 from weftline.llm.common import narrow, steps
-from weftline.runtime import materialize, table
+from weftline.runtime import discard, materialize, table
 
 WORDS = 5
 #: Similarity as a fraction, so that sizes compare in whole numbers.
@@ -40,9 +40,9 @@ THRESHOLD = (75, 100)
 FREQUENT = 50_000
 #: Rows of one worker step that must share a shingle for it to be counted as frequent.
 LOCAL = 4
-#: Rounds of hubs before the remaining pairs are verified one by one, and members of a
-#: list from which on it takes part in them.
-ROUNDS, LONG = 2, 32
+#: Rounds of hubs before the remaining pairs are verified one by one, hubs of a list in
+#: a round, and members of a list beyond which it takes part.
+ROUNDS, HUBS, LONG = 3, 8, 32
 #: Slots of the map that tells workers which rows' sets are asked for.
 SLOTS = 1 << 21
 #: Largest size at which the boundary between light and heavy may lie.
@@ -198,16 +198,20 @@ def _items(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> Da
     """(name, items): the shingles of each set that a pair names, from one of its rows.
 
     Which rows those are, by a hash of the key in SLOTS slots, is all that is sent to
-    the workers; of the rows that pass, sets that no pair names fall out in a join."""
+    the workers. Rows that share a slot with one may bring a set that no pair names,
+    or one again; a join with the pairs passes over the former, and links that come
+    twice are one link."""
     names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     wanted = materialize(names.join(nodes.select("name", "first"), "name"))
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(SLOTS)).cast("int")
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[[r.slot for r in wanted.select(slot("first").alias("slot")).distinct().collect()]] = True
-    held = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    words = wanted.select(slot("first").alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    for r in words.collect():  # at most SLOTS / 64 rows
+        bitmap[r["at"]] = r["bits"]
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing = np.unpackbits(held.value).astype(bool)
+        passing = np.unpackbits(held.value.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             kept = batch.filter(pa.array(passing[batch.column("slot").to_numpy()]))
             for part in steps(iter([kept])):
@@ -215,8 +219,7 @@ def _items(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> Da
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["name", "items"])
 
-    found = rows.select(slot("key").alias("slot"), "text").mapInArrow(run, "name long, items binary")
-    return materialize(found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]))
+    return materialize(rows.select(slot("key").alias("slot"), "text").mapInArrow(run, "name long, items binary"))
 
 
 def _verified(pairs: DataFrame, items: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -266,16 +269,19 @@ def link_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     posted = posted.withColumns({"low": F.min("name").over(every), "high": F.max("name").over(every)}).where("low <> high")
     lists = materialize(posted.groupBy("sig", "name").agg(F.first("n").alias("n")))
 
-    def fit(pairs: DataFrame) -> DataFrame:
-        """(a, b) of (a, n, b, m), a row for each signature shared, whose sizes fit and
-        that share as many signatures as they must: of two sets in single-shingle
-        lists, all that they have in common beyond their shared signatures lies behind
-        the beginning of one of them."""
+    def sized(n: str, m: str):
+        return (F.col(n) * under >= F.col(m) * over) & (F.col(m) * under >= F.col(n) * over)
+
+    def fit(pairs: DataFrame, part: int = 1) -> DataFrame:
+        """(a, b) of (a, n, b, m, shared) whose sizes fit and that share as many
+        signatures as they must: of two sets in single-shingle lists, all that they
+        have in common beyond their shared signatures lies behind the beginning of one
+        of them; two light sets share one shingle more, and all pairs of those. With `part`, one in so many will do: a hub stands in few of the lists
+        that it shares with a set."""
         lo = lambda c: F.greatest(F.lit(1), F.expr(f"({c} * {over}L + {under - 1}) div {under}"))
-        pairs = pairs.where((F.col("n") * under >= F.col("m") * over) & (F.col("m") * under >= F.col("n") * over))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
         must = F.expr(f"((n + m) * {over}L + {over + under - 1}) div {over + under}") - F.greatest(lo("n"), lo("m")) + 1
-        return pairs.where((F.greatest("n", "m") <= light) | (F.col("shared") >= must)).select("a", "b")
+        least = F.when(F.greatest("n", "m") <= light, (must + 1) * must / 2).otherwise(must)
+        return pairs.where(sized("n", "m") & (F.col("shared") * part >= least)).select("a", "b")
 
     def joined(links: DataFrame | None) -> DataFrame:
         """Lists whose members lie in several components."""
@@ -290,7 +296,9 @@ def link_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
         pairs = materialize(pairs)
         if pairs.isEmpty():
             return links
-        found = materialize(_verified(pairs, _items(rows, pairs, nodes, size), threshold))
+        items = _items(rows, pairs, nodes, size)
+        found = materialize(_verified(pairs, items, threshold))
+        discard(items)
         both = found if links is None else links.unionByName(found)
         return connected_components(both).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -298,16 +306,26 @@ def link_sets(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     for number in range(ROUNDS):
         live = joined(links)
         by = F.struct(F.xxhash64("name", F.lit(number)).alias("h"), F.col("name").alias("hub"), F.col("n").alias("m"), F.col("component").alias("hub_component"))
-        hubs = live.groupBy("sig").agg(F.min(by).alias("by"), F.count("*").alias("members")).where(F.col("members") > LONG).select("sig", "by.*")
+        long = live.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") > LONG)
+        one_of = F.pmod(F.xxhash64("name"), F.lit(HUBS))
+        hubs = live.join(long, "sig", "left_semi").groupBy("sig", one_of.alias("_")).agg(F.min(by).alias("by")).select("sig", "by.*")
         pairs = live.join(hubs, "sig").where("component <> hub_component")
         before = links
-        links = verify(fit(pairs.select(F.col("name").alias("a"), "n", F.col("hub").alias("b"), "m")), links)
+        pairs = pairs.where(sized("n", "m")).groupBy(F.col("name").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+        links = verify(fit(pairs, 4), links)
         if links is before:
             break
     live = joined(links)
-    other = live.select("sig", F.col("name").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = live.withColumnRenamed("name", "a").join(other, "sig").where("a < b and component <> other")
-    links = verify(fit(pairs.select("a", "n", "b", "m")), links)
+    # Components meet in lists, each once, and their members then meet each other once:
+    # members share no more lists than their components do, or than they are in.
+    heads = live.groupBy("sig", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = heads.select("sig", F.col("component").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    met = heads.join(other, "sig").where((F.col("component") < F.col("other")) & (F.col("high") * under >= F.col("other_low") * over) & (F.col("other_high") * under >= F.col("low") * over))
+    met = met.groupBy("component", "other").agg(F.count("*").alias("shared"))
+    members = live.groupBy("name", "component").agg(F.first("n").alias("n"), F.count("*").alias("k"))
+    pairs = met.join(members.withColumnRenamed("name", "a"), "component").join(members.select(F.col("name").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("k").alias("k2")), "other")
+    pairs = pairs.withColumn("shared", F.least("shared", "k", "k2"))
+    links = verify(fit(pairs.select(F.least("a", "b").alias("a"), "n", F.greatest("a", "b").alias("b"), "m", "shared").distinct()), links)
 
     if links is not None:
         held = nodes.join(links.select(F.col("a").alias("name"), F.col("b").alias("root")), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))

@@ -84,7 +84,7 @@ def near_classes(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     sound = F.col("key").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
     use = rows.where(sound).select("key", "label", "v")
     nodes = materialize(use.groupBy("label", "v").agg(F.count("*").alias("many"), F.min(F.col("key").cast("long")).alias("name")))
-    widths = [r.w for r in nodes.select(F.size("v").alias("w")).distinct().limit(1000).collect()]
+    widths = [r.w for r in nodes.select(F.size("v").alias("w")).distinct().collect()]  # one, in any table of one model's vectors
 
     counts, edges = [], []
     for width in sorted(widths):
