@@ -1,8 +1,8 @@
 """The registered queries over the derived sources and the given tables, and their SQL.
 
 Each entry of QUERIES takes (spark, sf_dir) and reads whole tables. ORACLE_SQL says the
-same in DuckDB; the four queries without it (the greedy third tier and what rests on
-it, spectral flatness, the stream) are held against sequential models in the tests.
+same in DuckDB; four queries have none: the greedy third tier and what rests on it,
+held against a sequential model in the tests, and spectral flatness.
 """
 
 from __future__ import annotations
