@@ -260,6 +260,34 @@ def test_html_keeps_the_article():
     assert html_text.main_text("<article><p>only short") == "only short"
 
 
+PARAGRAPHS = [f"Paragraph number {i} of the text, with words enough to make a surge of its own." for i in range(6)]
+GAPS = (
+    "<div class=ad><p>Buy now</p><p>Cheap and good</p><p>Only today</p></div>",
+    "<ul><li><a href=a>One thing</a><li><a href=b>Another thing</a><li><a href=c>A third thing</a></ul>",
+    "<p><a href=a>See this</a></p><p><a href=b>See that</a></p><p><a href=c>See more</a></p><p><a href=d>And more</a></p>",
+)
+
+
+@pytest.mark.parametrize("gap", GAPS)
+def test_html_lines_without_weight_part_no_text(gap):
+    said = [f"<p>{p}</p>" for p in PARAGRAPHS]
+    body = "".join(said[:4]) + gap + said[4] + gap + "<p>Tiny.</p>" + gap + said[5]
+    expected = "\n\n".join([*PARAGRAPHS[:5], "Tiny.", PARAGRAPHS[5]])
+    for page in (body, PAGE % body, PAGE % f"<div class=post>{body}</div>"):
+        assert html_text.main_text(page) == expected
+    legal = f"<div class=legal>{GAPS[2]}<p>All rights to what stands on these pages are reserved by somebody.</p></div>"
+    assert html_text.main_text(PAGE % f"<div class=post>{body}</div>{legal}") == expected
+
+
+def test_html_container_only_where_the_text_lies_in_it():
+    teaser = "<article><p>A teaser of another story, that is just long enough to be a surge.</p></article>"
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert html_text.main_text(PAGE % f"<div class=post>{text}</div>{GAPS[2]}{teaser}") == "\n\n".join(PARAGRAPHS)
+    halves = ["".join(f"<p>{p}</p>" for p in part) for part in (PARAGRAPHS[:2], PARAGRAPHS[2:])]
+    for page in ("<article>%s</article><article>%s</article>", "<main><article>%s</article><article>%s</article></main>", "<main>%s<article>%s</article></main>"):
+        assert html_text.main_text(PAGE % page % tuple(halves)) == "\n\n".join(PARAGRAPHS)
+
+
 def test_html_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in html_text.op7_html_extraction(spark, sf).collect():

@@ -42,6 +42,9 @@ BLOCKS = frozenset(
     "address article blockquote body br center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html hgroup legend li main ol p pre"
     " section summary table caption tbody td tfoot th thead tr ul nav header footer aside form fieldset menu dialog".split()
 )
+#: Elements that group blocks; with their classes they tell what kind of place a line is in.
+GROUPS = frozenset("article body center details div main section table td".split())
+CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end at their sibling when their end tag is left out.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,12 +54,14 @@ SPACES = re.compile(r"\s+")
 @dataclass
 class Line:
     """One block's text, how much of it is link text, whether it lies in an element
-    that is no part of an article, and the innermost article or main (0: none)."""
+    that is no part of an article, the articles and mains around it and the groups
+    around it (name and class), both from the outermost in."""
 
     text: str
     linked: int
     aside: bool
-    container: int
+    containers: tuple[int, ...]
+    groups: tuple[str, ...]
 
 
 def is_aside(name: str, rest: str) -> bool:
@@ -78,27 +83,30 @@ def lines_of(page: str) -> list[Line]:
     around them; a cut-off tag or comment at the end is dropped."""
     lines: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int, bool]] = []
     linked = links = asides = containers = 0
-    inside = [0]
+    inside: list[int] = []
+    groups: list[str] = []
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", "".join(parts)).strip()
             if text:
-                lines.append(Line(text, linked, asides > 0, inside[-1]))
+                lines.append(Line(text, linked, asides > 0, tuple(inside), tuple(groups)))
             parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
         nonlocal links, asides
         while len(stack) > depth:
-            name, aside, container = stack.pop()
+            name, aside, container, group = stack.pop()
             links -= name == "a"
             asides -= aside
             if container:
                 inside.pop()
+            if group:
+                groups.pop()
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -152,57 +160,82 @@ def lines_of(page: str) -> list[Line]:
             containers += 1
             container = containers
             inside.append(container)
-        stack.append((name, aside, container))
+        if group := name in GROUPS:
+            said = CLASS.search(m["rest"])
+            groups.append(f"{name} {' '.join(sorted((said[1] or said[2] or said[3] or '').split()))}" if said else name)
+        stack.append((name, aside, container, group))
         links += name == "a"
         asides += aside
     end_line()
     return lines
 
 
-def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines between surge and dive.
-
-    A line weighs its text without link text, nothing if it lies aside. A surge is
-    the first line of a window whose sum is over SURGE, with a sum after it that
-    stays over DIVE; its dive is where the sums have fallen to DIVE. Of several such
-    stretches the one with most text is the main text. Where it lies in an article
-    or main element, surge and dive move to that element's first and last line, so
-    that its short first and last lines, which no window tells from a menu, belong
-    to it; with no such element, lines before the surge that are headings of it stay
-    out. Without any surge, an article or main element alone decides."""
-    weight = np.array([0 if x.aside else max(0, len(x.text) - x.linked) for x in lines], np.int64)
-    if not weight.any():
-        return []
-    # A line aside breaks a stretch nowhere in an element: it only adds no text.
-    keep = np.array([not x.aside for x in lines])
+def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) from each surge to its dive. A surge is the first line with a weight
+    whose window's sum is over SURGE; its dive is where the sums have fallen to DIVE."""
+    n = len(weight)
     padded = np.concatenate([weight, np.zeros(WINDOW - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(WINDOW, np.int64), "full")[WINDOW - 1 : WINDOW - 1 + len(lines)]
-    best, best_size, i = None, 0, 0
-    while i < len(lines):
+    sums = np.convolve(padded, np.ones(WINDOW, np.int64), "full")[WINDOW - 1 : WINDOW - 1 + n]
+    found, i = [], 0
+    while i < n:
         if sums[i] <= SURGE or not weight[i]:
             i += 1
             continue
         j = i
-        while j < len(lines) and sums[j] > DIVE:
+        while j < n and sums[j] > DIVE:
             j += 1
-        if (held := int(weight[i:j].sum())) > best_size:
-            best, best_size = (i, j), held
+        found.append((i, j))
         i = j + 1
-    marks = {}
-    for i, x in enumerate(lines):
-        if x.container and keep[i]:
-            marks[x.container] = marks.get(x.container, 0) + int(weight[i])
-    if marks:
-        inside = {x.container for x in lines[best[0] : best[1]] if x.container and not x.aside} if best else set(marks)
-        if inside := inside or set(marks):
-            top = max(inside, key=lambda k: (marks.get(k, 0), -k))
-            at = [i for i, x in enumerate(lines) if x.container == top]
-            best = at[0], at[-1] + 1
-            # Nested articles (a list of them in one main) belong to the outer one.
-            return [x for x in lines[best[0] : best[1]] if not x.aside and (x.container >= top)]
-    if best is None:
+    return found
+
+
+def home(lines: list[Line], weight: np.ndarray) -> tuple[str, ...]:
+    """The innermost groups that hold more than half of the lines' weight."""
+    held: dict[tuple[str, ...], int] = {(): int(weight.sum())}
+    for x, w in zip(lines, weight):
+        for k in range(1, len(x.groups) + 1):
+            held[x.groups[:k]] = held.get(x.groups[:k], 0) + int(w)
+    return max((g for g, w in held.items() if 2 * w > held[()]), key=len)
+
+
+def main_lines(lines: list[Line]) -> list[Line]:
+    """The lines between surge and dive.
+
+    Lines aside are taken out first, so that they part nothing. A line weighs its text
+    without link text. Of several stretches from surge to dive the one with most text
+    is certain. Where most of it lies in articles or main elements, surge and dive move
+    to the ends of the innermost one that holds all of its lines in such elements, or
+    of each outermost one that it spans, so that short first and last lines, which no
+    window tells from a menu, belong to them. Otherwise lines without text of their own
+    (links, say) may have parted the text: it goes from the first to the last stretch
+    with a line in the same kind of place as most of the certain one, and what lies
+    between in such a place, however short, belongs to it; so do headings in the
+    window of a surge. Without any surge, the articles and main elements alone decide:
+    the one with most text."""
+    lines = [x for x in lines if not x.aside]
+    weight = np.array([max(0, len(x.text) - x.linked) for x in lines], np.int64)
+    if not weight.any():
         return []
-    return [x for x in lines[best[0] : best[1]] if not x.aside and x.linked * 2 <= len(x.text)]
+    found = stretches(weight)
+    if not found:
+        marks: dict[int, int] = {}
+        for x, w in zip(lines, weight):
+            for c in x.containers[-1:]:
+                marks[c] = marks.get(c, 0) + int(w)
+        top = max(marks, key=lambda c: (marks[c], -c), default=None)
+        return [x for x in lines if top in x.containers]
+    start, end = max(found, key=lambda s: (int(weight[s[0] : s[1]].sum()), -s[0]))
+    held = [x.containers for x, w in zip(lines[start:end], weight[start:end]) if w and x.containers]
+    if 2 * sum(int(w) for x, w in zip(lines[start:end], weight[start:end]) if x.containers) > int(weight[start:end].sum()):
+        common = [c for c in held[0] if all(c in h for h in held)]
+        used = {common[-1]} if common else {h[0] for h in held}
+        return [x for x in lines if used.intersection(x.containers)]
+    at = home(lines[start:end], weight[start:end])
+    own = [x.groups[: len(at)] == at for x in lines]
+    parts = [(i, j) for i, j in found if any(own[k] and weight[k] for k in range(i, j))]
+    first, last = min(start, parts[0][0]), max(end, parts[-1][1])
+    kept = [i for i in range(first, last) if own[i] or start <= i < end or any(a <= i < b for a, b in parts)]
+    return [lines[i] for i in kept if lines[i].linked * 2 <= len(lines[i].text)]
 
 
 def main_text(page: str | None) -> str:
