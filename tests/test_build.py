@@ -161,6 +161,32 @@ def test_resolution_against_sequential_model(spark, seed):
     assert {r.ord: r.component for r in found.clusters.collect()} == clusters
 
 
+def modelled(spark, sf):
+    """The query records of the smallest input, and what the sequential model makes of them."""
+    from weftline.plans import queries as plans
+
+    rows = [r.asDict() for r in plans.records(spark, sf).orderBy("ord").collect()]
+    rows = [r | {"name": r["nkey"] or "?", "city": r["city"] if r["surname"] else None} for r in rows]
+    return rows, *sequential(rows)
+
+
+def test_dashboard_counts_merges_and_reviews(spark, sf):
+    from weftline.plans import queries as plans
+
+    rows, _, clusters = modelled(spark, sf)
+    got = plans.QUERIES["dashboard_stats_all_tiers"](spark, sf).first()
+    sources = {}
+    for r in rows:
+        sources.setdefault(clusters[r["ord"]], set()).add(r["source"])
+    assert (got.people, got.merged) == (len(sources), sum(len(s) > 1 for s in sources.values()))
+    tables = build.build(plans.raw_all(spark, sf)).tables
+    assert got.open_reviews == tables["match_review"].count() > 0
+    assert got.issues == tables["data_issue"].count() > plans.QUERIES["dashboard_stats"](spark, sf).first().issues
+    log = plans.QUERIES["issue_log_all_tiers"](spark, sf)
+    assert log.count() == got.issues and log.where("issue_code = 'AMBIGUOUS_IDENTITY'").count() == got.open_reviews
+    assert plans.QUERIES["issues_by_code_all_tiers"](spark, sf).where("issue_code = 'AMBIGUOUS_IDENTITY'").first().n == got.open_reviews
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 5000, 7).repartition(9)
     got = dense_ids(df, "id", "n").collect()

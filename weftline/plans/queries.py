@@ -1,13 +1,15 @@
 """The registered queries over the derived sources and the given tables, and their SQL.
 
 Each entry of QUERIES takes (spark, sf_dir) and reads whole tables. ORACLE_SQL says the
-same in DuckDB; four queries have none: the greedy third tier and what rests on it,
-held against a sequential model in the tests, and spectral flatness.
+same in DuckDB. What rests on the greedy third tier has none (tier3_links, match_reviews,
+merge_summary and every NAME_all_tiers) and is held against a sequential model in the
+tests; neither has spectral flatness.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ ORACLE_SQL: dict[str, str] = {}
 _made: dict[tuple, DataFrame] = {}
 
 
+#: Whether person(), members(), links() and issues() rest on all three tiers.
+_every: ContextVar[bool] = ContextVar("every", default=False)
+
+
 def forget() -> None:
     _made.clear()
 
@@ -58,6 +64,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def all_tiers(*names: str) -> None:
+    """NAME_all_tiers for each: what the query NAME asks, of the persons, issues and
+    reviews that all three tiers give. The greedy third tier is not for SQL to express,
+    so NAME itself stays with what its SQL says."""
+
+    def add(name: str) -> None:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            was = _every.set(True)
+            try:
+                return QUERIES[name](spark, sf_dir)
+            finally:
+                _every.reset(was)
+
+        query(f"{name}_all_tiers")(run)
+
+    for name in names:
+        add(name)
+
+
 def cell(i: int) -> Column:
     return F.get("cells", F.lit(i))
 
@@ -141,7 +166,11 @@ def row_status(spark, sf_dir):
 
 
 def issues(spark, sf_dir) -> DataFrame:
-    return survive.issue_log(parsed(spark, sf_dir))
+    """Findings about rows; over all tiers also those of merges and open identities."""
+    if not _every.get():
+        return survive.issue_log(parsed(spark, sf_dir))
+    merged = survive.merge_findings(members(spark, sf_dir), person(spark, sf_dir))
+    return _once("issues, all tiers", spark, sf_dir, lambda: survive.issue_log(parsed(spark, sf_dir), merged, _resolution(spark, sf_dir)["reviews"]))
 
 
 @query("issue_log", o.over(o.PARSED, o.issue_rows()) + f"select source, row_no, code as issue_code, {o.SEVERITY_SQL} as severity from found")
@@ -224,10 +253,16 @@ def strong_links(spark, sf_dir) -> DataFrame:
 
 
 def members(spark, sf_dir) -> DataFrame:
-    """Records in the clusters of the first two tiers."""
+    """Records in the clusters of the first two tiers, or of all."""
+    if _every.get():
+        return _once("members, all tiers", spark, sf_dir, lambda: records(spark, sf_dir).join(_resolution(spark, sf_dir)["clusters"], "ord"))
     return _once("members", spark, sf_dir, lambda: resolve.with_components(records(spark, sf_dir), strong_links(spark, sf_dir)))
 
 
+def links(spark, sf_dir) -> DataFrame:
+    return _resolution(spark, sf_dir)["links"] if _every.get() else strong_links(spark, sf_dir)
+
+
 _RECORDS, _STRONG, _GOLDEN = (o.PARSED, o.RECORDS), (o.PARSED, o.RECORDS, o.STRONG), (o.PARSED, o.RECORDS, o.STRONG, o.GOLDEN)
 
 
@@ -293,11 +328,11 @@ def merge_summary(spark, sf_dir):
     return build.summary(build.build(raw_all(spark, sf_dir)).tables)
 
 
-# golden records over the first two tiers
+# golden records over the first two tiers; all_tiers() registers them over all three
 
 
 def person(spark, sf_dir) -> DataFrame:
-    return _once("person", spark, sf_dir, lambda: survive.golden(members(spark, sf_dir), strong_links(spark, sf_dir)))
+    return _once("person, all tiers" if _every.get() else "person", spark, sf_dir, lambda: survive.golden(members(spark, sf_dir), links(spark, sf_dir)))
 
 
 @query("pick_name", o.over(*_GOLDEN) + "select component, full_name from names")
@@ -332,7 +367,7 @@ def golden_person(spark, sf_dir):
 
 @query("match_methods", o.over(*_STRONG) + ", made as (select component, 'email' as method, 1.0::double as c from email_edges join placed on a = ord union select component, 'phone', 0.99 from phone_edges join placed on a = ord) select component, string_agg(distinct method, ',' order by method) as match_methods, min(c) as match_confidence from made group by component")
 def match_methods(spark, sf_dir):
-    return survive.methods(strong_links(spark, sf_dir), members(spark, sf_dir).select("ord", "component"))
+    return survive.methods(links(spark, sf_dir), members(spark, sf_dir).select("ord", "component"))
 
 
 _SOURCE_COUNTS = "select match_methods, count(*) as n from (select p.component, coalesce(string_agg(distinct method, ',' order by method), 'single_source') as match_methods from person p left join (select component, 'email' as method from email_edges join placed on a = ord union all select component, 'phone' from phone_edges join placed on a = ord) m on m.component = p.component group by p.component) group by match_methods"
@@ -383,7 +418,7 @@ def person_skill(spark, sf_dir):
 def full(spark, sf_dir) -> DataFrame:
     m, p = members(spark, sf_dir), person(spark, sf_dir)
     known = survive.skills(m)
-    return _once("full", spark, sf_dir, lambda: survive.person_full(p, survive.person_skill(m, p, known), known))
+    return _once("full, all tiers" if _every.get() else "full", spark, sf_dir, lambda: survive.person_full(p, survive.person_skill(m, p, known), known))
 
 
 _FULL = "full_view as (select p.*, listed.skills from person p left join (select component, string_agg(distinct skill, ', ' order by skill) as skills from skill_rows group by component) listed on listed.component = p.component)"
@@ -505,8 +540,12 @@ def list_people_untagged(spark, sf_dir):
 @query("dashboard_stats", o.over(o.PARSED, o.RECORDS, o.STRONG, o.GOLDEN, _SUBMISSIONS, _UPDATES, _GOOD, o.issue_rows()) + "select (select count(*) from person) as people, (select count(*) from person where source_count > 1) as merged, (select count(distinct person_id) from good) as tagged, (select count(*) from found) as issues, 0::bigint as open_reviews, (select count(*) from submissions) as submissions")
 def dashboard_stats(spark, sf_dir):
     tagged = serve.latest_category(updates(spark, sf_dir), person(spark, sf_dir))
-    none = spark.range(0).select(F.lit(0).alias("resolved"))
-    return serve.dashboard(tagged, issues(spark, sf_dir), none, submissions(spark, sf_dir))
+    # The first two tiers leave nothing to review.
+    open_ = _resolution(spark, sf_dir)["reviews"] if _every.get() else spark.range(0)
+    return serve.dashboard(tagged, issues(spark, sf_dir), open_.select(F.lit(0).alias("resolved")), submissions(spark, sf_dir))
+
+
+all_tiers("dashboard_stats", "issue_log", "issues_by_code", "issues_by_severity", "issue_example_per_code", "top_issue_codes")
 
 
 # enrichment
