@@ -187,6 +187,24 @@ def test_dashboard_counts_merges_and_reviews(spark, sf):
     assert plans.QUERIES["issues_by_code_all_tiers"](spark, sf).where("issue_code = 'AMBIGUOUS_IDENTITY'").first().n == got.open_reviews
 
 
+def test_people_by_method_over_all_tiers(spark, sf):
+    import __spark_entry__ as entry
+
+    rows, weak, clusters = modelled(spark, sf)
+    found = {c: set() for c in clusters.values()}
+    for key, method in (("ekey", "email"), ("pkey", "phone")):
+        first = {}
+        for r in rows:
+            if r[key] and first.setdefault(r[key], r["ord"]) != r["ord"]:
+                found[clusters[r["ord"]]].add(method)
+    for a, _ in weak:
+        found[clusters[a]].add("name_city")
+    said = [",".join(sorted(m)) or "single_source" for m in found.values()]
+    assert {r.match_methods: r.n for r in entry.entry(spark).collect()} == {m: said.count(m) for m in said}
+    assert "name_city" in said
+    assert entry.queries()["golden_person_all_tiers"](spark, sf).count() == len(found)
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 5000, 7).repartition(9)
     got = dense_ids(df, "id", "n").collect()

@@ -548,6 +548,11 @@ def dashboard_stats(spark, sf_dir):
 all_tiers("dashboard_stats", "issue_log", "issues_by_code", "issues_by_severity", "issue_example_per_code", "top_issue_codes")
 
 
+all_tiers("pick_name", "pick_email", "pick_city", "pick_phone", "golden_person", "match_methods", "people_by_method", "source_coverage")
+all_tiers("person_email", "person_phone", "person_alias", "skill_dim", "person_skill", "person_full_view", "merge_findings", "source_record")
+all_tiers("resolve_submission_person", "submission_list", "match_check", "latest_enrichment", "update_status", "list_people_untagged")
+
+
 # enrichment
 
 _HITS = {c: "len(list_filter(tokens, lambda t: t in (" + o._list(w) + ")))" for c, w in fixed.CATEGORY_WORDS.items()}
@@ -579,6 +584,9 @@ def confidence_split(spark, sf_dir):
     return good.withColumn("branch", F.lit("write")).unionByName(rest.withColumn("branch", F.lit("review"))).groupBy("branch").agg(F.count("*").alias("n"))
 
 
+all_tiers("classify_rule", "category_counts", "confidence_split")
+
+
 # profile
 
 _ALL_CELLS = {t: [f"coalesce({c}, '')" for c in o._CELLS[f"source{t}"]] for t in "123"}
