@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from weftline.functions import audio
+from weftline.functions import audio, fixed
 from weftline.sources.audio import decode, read_wav, uploads
 from weftline.streaming.submissions import landing, run_available
 
@@ -60,6 +60,38 @@ def test_submissions_find_or_add_their_person(spark, files):
     assert serve.duplicate_uploads(rows).count() == 1
 
 
+def plain_grade(x):
+    """The label of a signal at 16 kHz in frames of 8 by steps of 4, in numpy."""
+    db = lambda v: 20 * np.log10(max(v, 1e-10))
+    levels = np.array([np.sqrt((x[i : i + 8] ** 2).mean()) for i in range(0, len(x) - 7, 4)])
+    loud, quiet = np.quantile(levels, 0.9), np.quantile(levels, 0.1)
+    padded = np.pad(x, 128)
+    power = np.array([np.abs(np.fft.rfft(padded[i : i + 256] * np.hanning(257)[:-1])) ** 2 for i in range(0, len(padded) - 255, 4)])
+    power = np.maximum(power, 1e-10)
+    flat = (np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1)).mean()
+    snr, level = db(loud) - db(quiet), db(np.sqrt((x**2).mean()))
+    silent = 100 * (levels < loud * 10 ** (fixed.SILENCE_DB / 20)).mean()
+    score = 100 - (40 if snr < 10 else 15 if snr < 20 else 0) - (30 if level < -45 else 10 if level < -35 else 15 if level > -8 else 0)
+    score -= 25 * ((np.abs(x) >= fixed.CLIP_AT).mean() * 100 > 0.1) + 25 * (silent > 70) + 30 * (len(x) < 16000) + 15 * (flat > 0.4)
+    return "good" if score >= 80 else "fair" if score >= 55 else "poor"
+
+
+def test_grade_counts_clipping_and_flatness(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.plans import queries as plans
+
+    t, rng = np.arange(640) / 16000, np.random.default_rng(3)
+    gate = 0.03 + 0.97 * (np.sin(2 * np.pi * 50 * t) > 0)
+    clean, noise = 0.3 * np.sin(2 * np.pi * 220 * t) * gate, rng.normal(scale=0.1, size=len(t)) * gate
+    signals = [clean, np.clip(clean * 4, -1, 1), noise, np.sin(2 * np.pi * 6000 * t) * 0.3 * gate, clean[:320], np.clip(noise[:64] * 40, -1, 1)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(signals)], "i int, s array<double>").withColumn("l", audio.frame_rms(F.col("s"), F.lit(8), F.lit(4)))
+    got = {r.i: r.label for r in df.select("i", plans.measured_grade().alias("label")).collect()}
+    assert got == {i: plain_grade(x) for i, x in enumerate(signals)}
+    left_out = audio.grade(F.round(audio.decibels(audio.rms(F.col("s"))), 2), audio.snr_db(F.col("l")), F.lit(0.0), audio.silence_pct(F.col("l")), F.size("s") / 16000.0, F.lit(16.0), audio.crossings(F.col("s")))[0]
+    assert {r.i: r.label for r in df.select("i", left_out.alias("label")).collect()} != got
+
+
 def test_wav_kinds():
     x = np.array([0.0, 0.5, -0.5, 0.25])
     for bits, tag in ((8, 1), (16, 1), (24, 1), (32, 1), (32, 3), (64, 3)):

@@ -3,7 +3,7 @@
 Each entry of QUERIES takes (spark, sf_dir) and reads whole tables. ORACLE_SQL says the
 same in DuckDB. What rests on the greedy third tier has none (tier3_links, match_reviews,
 merge_summary and every NAME_all_tiers) and is held against a sequential model in the
-tests; neither has spectral flatness.
+tests; neither have spectral flatness and quality_grade_measured.
 """
 
 from __future__ import annotations
@@ -712,6 +712,20 @@ def quality_grade(spark, sf_dir):
     return rows.select("vec_id", label.alias("quality_label"))
 
 
+def measured_grade() -> Column:
+    """Label of (s, l), signals at 16 kHz with their frames' levels, by what each fault
+    is measured with in audio.properties()."""
+    s, l = F.col("s"), F.col("l")  # noqa: E741
+    flatness = F.round(audio.spectral_flatness(s, F.lit(8)), 5)
+    return audio.grade(F.round(audio.decibels(audio.rms(s)), 2), audio.snr_db(l), audio.clipping_pct(s), audio.silence_pct(l), F.round(F.size(s) / 16000.0, 3), F.lit(16.0), flatness)[0]
+
+
+@query("quality_grade_measured")
+def quality_grade_measured(spark, sf_dir):
+    """quality_grade with clipping and spectral flatness, which its SQL leaves out."""
+    return signal(spark, sf_dir).select("vec_id", measured_grade().alias("quality_label"))
+
+
 @query("spectral_flatness")
 def spectral_flatness(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", audio.spectral_flatness("embedding", F.lit(8)).alias("flatness"))
