@@ -83,6 +83,18 @@ def test_buckets_are_optimal():
         assert sum(c * (min(b for b in bounds if b >= v) - v) for v, c in zip(lengths, counts)) == brute_padding(lengths, counts, k)
 
 
+def test_bounds_are_optimal_and_exact_for_long_rows(spark):
+    rng = random.Random(10)
+    lengths = sorted(rng.sample(range(257, 30000), 11))
+    counts = [rng.randint(1, 20) for _ in lengths]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(v for v, c in zip(lengths, counts) for _ in range(c))], "doc_id long, length long")
+    got = packing.pack(df, buckets=4).collect()
+    assert sum(r.bucket_length - r.length for r in got) == brute_padding(lengths, counts, 4)
+    assert {r.bucket_length for r in got} <= set(lengths)
+    many = np.unique(np.random.default_rng(1).integers(0, 10**6, 60_000))
+    assert packing.optimal(many, np.ones(len(many), int), 8)[-1] == many[-1]
+
+
 def test_batches_fill_in_order_of_key(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice((0, 1, 5, 40, 300, 5000))) for i in rng.sample(range(20000), 900)] + [(7, None), (None, 3), (8, -2), (9, 40), (9, 40)]

@@ -15,16 +15,16 @@ from weftline.runtime import materialize, table
 
 #: Buckets at most, and tokens (with padding) of a batch.
 BUCKETS, BUDGET = 8, 16_384
-#: Lengths keep this many leading bits; those of up to 2^EXACT stand as they are.
+#: On grid(), lengths keep this many leading bits; those of up to 2^EXACT stand as they are.
 EXACT = 8
 #: Rows of one cell, the unit in which positions are counted.
 CELL = 4096
 
 
 def grid(length):
-    """A length, rounded up so that at most EXACT leading bits are used: the histogram
-    then has under 2^(EXACT - 1) entries for each doubling, whatever the corpus, and
-    a length grows by less than one part in 2^(EXACT - 1)."""
+    """A length, rounded up so that at most EXACT leading bits are used: a histogram of
+    these has under 2^(EXACT - 1) entries for each doubling, and a length grows by less
+    than one part in 2^(EXACT - 1). pack() itself uses exact lengths."""
     shift = F.greatest(F.lit(0), F.length(F.bin(F.greatest(length, F.lit(1)) - 1)) - EXACT)
     unit = F.pow(F.lit(2.0), shift).cast("long")
     return (F.ceil(length / unit) * unit).cast("long")
@@ -35,39 +35,50 @@ def optimal(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) ->
 
     padding(i, j) of one bucket for the lengths i..j is what they lack to the longest.
     cost[b][j] = min over i of cost[b-1][i-1] + padding(i, j): every split of the
-    sorted lengths into b runs, hence an optimum, in O(buckets * lengths^2) steps of
-    numpy. Of equal optima the one with fewest buckets, then with the earliest cut."""
+    sorted lengths into b runs, hence an optimum. For one b the sum is a line in
+    lengths[j] for each i, whose slopes fall with i, so the lower hull of the lines
+    gives each minimum, in O(buckets * lengths) steps on exact whole numbers. Of equal
+    optima the one with fewest buckets, then with the earliest cut."""
     order = np.argsort(lengths)
-    v, c = np.asarray(lengths, np.float64)[order], np.asarray(counts, np.float64)[order]
+    v, c = [int(x) for x in np.asarray(lengths)[order]], [int(x) for x in np.asarray(counts)[order]]
     n = len(v)
     if not n:
         return []
-    rows, tokens = np.concatenate([[0], c.cumsum()]), np.concatenate([[0], (c * v).cumsum()])
-    cost = v * rows[1:] - tokens[1:]
+    rows, tokens = [0], [0]
+    for x, m in zip(v, c):
+        rows.append(rows[-1] + m)
+        tokens.append(tokens[-1] + x * m)
+    cost = [v[j] * rows[j + 1] - tokens[j + 1] for j in range(n)]
     cuts = []
     best, used = cost[-1], 1
     for b in range(2, min(buckets, n) + 1):
-        now, cut = np.full(n, np.inf), np.zeros(n, int)
+        now, cut = [0] * n, [0] * n
+        hull: list[tuple[int, int, int]] = []  # (rows before, height, i), the first still needed at `at`
+        at = 0
         for j in range(b - 1, n):
-            each = cost[b - 2 : j] + v[j] * (rows[j + 1] - rows[b - 1 : j + 1]) - (tokens[j + 1] - tokens[b - 1 : j + 1])
-            k = int(each.argmin())
-            now[j], cut[j] = each[k], k + b - 1
+            r, h = rows[j], cost[j - 1] + tokens[j]
+            while len(hull) - at >= 2 and (h - hull[-2][1]) * (hull[-1][0] - hull[-2][0]) <= (hull[-1][1] - hull[-2][1]) * (r - hull[-2][0]):
+                hull.pop()
+            hull.append((r, h, j))
+            while at + 1 < len(hull) and hull[at + 1][1] - v[j] * hull[at + 1][0] < hull[at][1] - v[j] * hull[at][0]:
+                at += 1
+            now[j], cut[j] = hull[at][1] - v[j] * hull[at][0] + v[j] * rows[j + 1] - tokens[j + 1], hull[at][2]
         cuts.append(cut)
         cost = now
         if cost[-1] < best:
             best, used = cost[-1], b
     bounds, j = [], n - 1
     for b in range(used, 0, -1):
-        bounds.append(int(v[j]))
+        bounds.append(v[j])
         if b > 1:
-            j = int(cuts[b - 2][j]) - 1
+            j = cuts[b - 2][j] - 1
     return bounds[::-1]
 
 
 def pack(df: DataFrame, key: str = "doc_id", length: str = "length", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(key, length, bucket, bucket_length, batch, slot) of every row.
 
-    Lengths are rounded up to the grid; null or negative lengths count as 0. bucket
+    Null or negative lengths count as 0. bucket
     numbers the chosen boundaries from 0; bucket_length is what a row is padded to. A
     batch holds budget // bucket_length rows (one at least, so a row longer than the
     budget is a batch of its own; rows of a bucket of length 0 count as of length 1).
@@ -75,18 +86,19 @@ def pack(df: DataFrame, key: str = "doc_id", length: str = "length", buckets: in
     slot each time. Null keys come first. An empty table gives no rows; other columns
     are left out.
 
-    The histogram (see grid) is all that reaches the driver. A row's place in its
+    The histogram of exact lengths is all that reaches the driver: n different lengths
+    need n * (n - 1) / 2 tokens, so 30 GB of text have some 100,000 at most. A row's place in its
     bucket is its place in its cell plus the rows of the cells before: cells are
     ranges of the key's order, so no task sorts a whole bucket, and the window over
     cells sees one row for each CELL rows."""
     rows = narrow(df, key=key, length=length)
     rows = rows.withColumn("length", F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0)))
-    rows = materialize(rows.withColumn("rounded", grid(F.col("length"))))
-    seen = rows.groupBy("rounded").count().collect()
-    bounds = optimal(np.array([r.rounded for r in seen]), np.array([r["count"] for r in seen]), buckets)
+    rows = materialize(rows)
+    seen = rows.groupBy("length").count().collect()
+    bounds = optimal(np.array([r.length for r in seen]), np.array([r["count"] for r in seen]), buckets)
     if not bounds:
         bounds = [0]
-    number = F.coalesce(*[F.when(F.col("rounded") <= b, F.lit(i)) for i, b in enumerate(bounds)])
+    number = F.coalesce(*[F.when(F.col("length") <= b, F.lit(i)) for i, b in enumerate(bounds)])
     rows = rows.withColumn("bucket", number).withColumn("bucket_length", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1))
     # A whole-number key is cut into ranges of CELL values; another kind, by its text's start.
     whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
