@@ -37,10 +37,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of the n-gram join. Documents
-    without an id are in no class and stay; rows that repeat a kept id stay."""
-    spare = ngram_join.link_sets(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest id of each class of the n-gram join, one row of it.
+    A document is a doc_id with a text, so that an id which stands on several texts is
+    judged in the class of each. Documents without an id are in no class and stay."""
+    same = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("said"))
+    found = ngram_join.link_sets(docs.where("doc_id is not null").select(same.alias("same"), "text"), key="same")
+    found = materialize(found.groupBy("same").agg(F.first("component_id").alias("kept"), F.count("*").alias("n")))
+    marked = docs.select(F.struct("*").alias("row"), same.alias("same"))
+    left = marked.join(found.where("same <> kept").select("same"), "same", "left_anti")
+    repeated = found.where("same = kept and n > 1").select("same")
+    once = left.join(repeated, "same", "left_semi").groupBy("same").agg(F.first("row").alias("row"))
+    return left.join(repeated, "same", "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

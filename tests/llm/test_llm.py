@@ -454,6 +454,20 @@ def test_boundary_follows_cost():
 # pipeline
 
 
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "red green blue white black brown pink"
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b.upper()), (4, "x"), (4, "x"), (5, None), (5, ""), (None, a), (None, a), (6, "y y"), (6, "Y y")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, said string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len([r for r in kept if r[0] == 6]) == 1
+    rest = [r for r in kept if r[0] != 6]
+    assert sorted(rest, key=repr) == sorted([(1, a), (2, b), (4, "x"), (5, None), (5, ""), (None, a), (None, a)], key=repr)
+
+
 def test_pipeline_against_its_parts(spark, sf):
     import corpus_pipeline
 
