@@ -47,6 +47,20 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.search(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_top_k_of_large_components_and_every_width(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    big = [(i, [rng.choice((-1, 1)) * (2.0**30 + rng.randrange(3) * 128) for _ in range(8)]) for i in range(100)]
+    huge = [(i, [rng.choice((-1, 1)) * rng.choice((3e38, 1.0, 2.0**64)) for _ in range(3)]) for i in range(100, 150)]
+    small = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(150, 200)]
+    df = spark.createDataFrame(big + huge + small, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in topk.search(df, df.where("vec_id % 10 = 0")).collect()}
+    expected = set()
+    for part in (big, huge, small):
+        expected |= {(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in part], 5, 10)}
+    assert got == expected
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.integers(-50, 50, (80, 5))

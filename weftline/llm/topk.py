@@ -10,6 +10,7 @@ reaches the k-th lower bound; the scores of those left are then resolved.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,43 @@ from weftline.runtime import table
 SCALE, TOP = 256, 5
 #: Candidates whose lists are built together, and queries that are run on them at a time.
 BLOCK, QUERIES = 4096, 256
+#: Whole numbers up to here are exact in double precision; scores go up to LONG_MAX.
+EXACT, LONG_MAX = 2**53, 2**63 - 1
 #: Depths, as shares of a list, at which bounds are taken.
 DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 
 
+def limbs(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Whole-number doubles as sums of limb[i] * 2^(bits * i), each under 2^bits in size."""
+    top = int(np.frexp(np.abs(x).max(initial=0))[1])
+    found = []
+    for i in range(max(0, (top - 1) // bits), -1, -1):
+        part = np.trunc(np.ldexp(x, -bits * i))
+        x = x - np.ldexp(part, bits * i)
+        found.append(part)
+    return found[::-1]
+
+
+def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products (queries by rows) of whole numbers of any size, as Python ints:
+    limbs are narrow enough that every sum of their products is exact."""
+    bits = (52 - queries.shape[1].bit_length()) // 2
+    a, b = limbs(queries, bits), limbs(rows, bits)
+    total = np.zeros((len(queries), len(rows)), object)
+    for s in range(len(a) + len(b) - 1):
+        part = sum((a[i] @ b[s - i].T).astype(np.int64) for i in range(max(0, s - len(b) + 1), min(s, len(a) - 1) + 1))
+        total += part.astype(object) * (1 << bits * s)
+    return total
+
+
+def beyond(score: int) -> bytes:
+    """Sorts scores of one value of the long column: those past its ends by their size."""
+    if -LONG_MAX - 1 <= score <= LONG_MAX:
+        return b"\1"
+    size = abs(score).to_bytes(300, "big")
+    return b"\2" + size if score > 0 else b"\0" + bytes(255 - x for x in size)
+
+
 class Lists:
     """Sorted lists of one block of integer vectors (rows by dimensions)."""
 
@@ -54,9 +88,16 @@ class Lists:
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's position, ids, exact scores) of each query's best k in this block,
-        itself left out; ties to the smaller id. All sums are of whole numbers far
-        below 2^53, hence exact in double precision."""
+        itself left out; ties to the smaller id. Where a sum of whole numbers may pass
+        2^53, up to which doubles are exact, all scores are resolved in limbs."""
         n = len(self.ids)
+        if float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1] >= EXACT:
+            for q in range(len(queries)):
+                scores = products(queries[q : q + 1], self.vectors)[0]
+                best = heapq.nsmallest(k, np.flatnonzero(self.ids != query_ids[q]).tolist(), key=lambda i: (-scores[i], self.ids[i]))
+                if best:
+                    yield q, self.ids[best], scores[best]
+            return
         open_ = np.arange(len(queries))
         rows = np.arange(n)
         for depth in [max(1, int(n * share)) for share in DEPTHS]:
@@ -79,9 +120,9 @@ class Lists:
 
 
 def _blocks(df: DataFrame, rows: int, salt: int) -> tuple[DataFrame, int]:
-    """(block, ids, vectors), and how many blocks: rows dealt by a hash of the id into
-    blocks of about `rows` rows, packed as little-endian 64-bit and 32-bit integers.
-    Ids that repeat may overfill a block, which is then several rows."""
+    """(block, width, ids, vectors), and how many blocks: rows dealt by width and a hash
+    of the id into blocks of about `rows` rows at most, packed as little-endian 64-bit
+    integers and, where all components of a block fit, 32-bit ones, else doubles. Ids that repeat may overfill a block, which is then several rows."""
     n = max(1, -(-df.count() // rows))
     dealt = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int"))
 
@@ -90,17 +131,27 @@ def _blocks(df: DataFrame, rows: int, salt: int) -> tuple[DataFrame, int]:
         for at in range(0, held.num_rows, 2 * rows):
             part = held.slice(at, 2 * rows).combine_chunks()
             ids = part["id"].to_numpy().astype("<i8")
-            vectors = pc.list_flatten(part["v"]).to_numpy().astype("<i4")
-            yield pa.RecordBatch.from_pydict({"block": pa.array([part["block"][0].as_py()], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+            vectors = pc.list_flatten(part["v"]).to_numpy()
+            vectors = vectors.astype("<i4" if np.abs(vectors).max(initial=0) < 2**31 else "<f8")
+            yield pa.RecordBatch.from_pydict({"block": pa.array([part["block"][0].as_py()], pa.int32()), "width": pa.array([part["width"][0].as_py()], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+
+    return dealt.withColumn("width", F.size("v")).groupBy("width", "block").applyInArrow(gather, "block int, width int, ids binary, vectors binary"), n
+
 
-    return dealt.groupBy("block").applyInArrow(gather, "block int, ids binary, vectors binary"), n
+def unpacked(vectors: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(vectors, "<i4" if len(vectors) == 4 * rows * width else "<f8").reshape(rows, width).astype(np.float64)
 
 
 def whole_numbers(column, scale: int):
-    """floor(scale * x) of each component; null for a vector that is null, empty or
-    holds a null, an infinite or a missing number, or one too large for its place."""
-    made = F.transform(column, lambda x: F.floor(x.cast("double") * scale))
-    sound = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2**22))
+    """floor(scale * x) of each component, as a double; null for a vector that is null,
+    empty or holds a null, an infinite or a missing number, or one that times scale is
+    past what a double holds. Doubles from 2^53 on are whole already."""
+
+    def floor(y):
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    made = F.transform(column, lambda x: floor(x.cast("double") * scale))
+    sound = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
     return F.when(sound & (F.size(column) > 0), made)
 
 
@@ -108,8 +159,9 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     """(query_id, rank, key, score): each query's k best rows by integer inner product.
 
     Components become floor(scale * x). Rows and queries whose vector is null, empty,
-    holds null or non-finite components (or any of 2^22 or more) take no part, nor do
-    null keys; only vectors of the queries' most frequent width are compared. A query's
+    holds null or non-finite components take no part, nor do null keys; vectors are
+    compared with those of their own width. Scores are exact and ranked as such; one
+    past the ends of a long is shown as that end. A query's
     own key is no candidate of it, in any of its rows; a key that is repeated stands
     once for each of its rows, and as a query once. Ties go to the smaller key. Fewer
     candidates than k give them all, none gives no row. Other columns are left out.
@@ -119,30 +171,29 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     k rows a query; these meet in a ranking that keeps k before it shuffles."""
     use = lambda t: narrow(t, id=key, v=vector).select(F.col("id").cast("long").alias("id"), whole_numbers(F.col("v"), scale).alias("v")).where("id is not null and v is not null")
     rows, asked = use(df), use(queries).dropDuplicates(["id"])
-    width = [r.w for r in asked.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()]
-    width = width[0] if width else 0
-    rows, asked = (t.where(F.size("v") == width) for t in (rows, asked))
     left, n = _blocks(rows, BLOCK, 1)
     right, _ = _blocks(asked, QUERIES, 2)
     # The stated queries against all rows, block by block: every block of queries is
     # sent to every block of rows, and blocks are dealt evenly to tasks.
-    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = left.repartition(2 * n, "block").join(right.repartition(2 * n, "block"), "block")
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = left.repartition(2 * n, "block", "width").join(right.repartition(2 * n, "block", "width"), ["block", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists = None, None
+        clamp = lambda s: [max(-LONG_MAX - 1, min(LONG_MAX, int(x))) for x in s]
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vectors, q_ids, q_vectors = (batch.column(c)[i].as_py() for c in ("ids", "vectors", "q_ids", "q_vectors"))
-                if ids != last:
-                    last, lists = ids, Lists(np.frombuffer(vectors, "<i4").reshape(-1, width), np.frombuffer(ids, "<i8"))
+                width, ids, vectors, q_ids, q_vectors = (batch.column(c)[i].as_py() for c in ("width", "ids", "vectors", "q_ids", "q_vectors"))
+                if (width, ids) != last:
+                    last, lists = (width, ids), Lists(unpacked(vectors, len(ids) // 8, width), np.frombuffer(ids, "<i8"))
                 q = np.frombuffer(q_ids, "<i8")
-                out = [(np.full(len(a), q[at]), a, s) for at, a, s in lists.search(np.frombuffer(q_vectors, "<i4").reshape(-1, width).astype(np.float64), q, k)]
+                out = [(np.full(len(a), q[at]), a, s) for at, a, s in lists.search(unpacked(q_vectors, len(q), width), q, k)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "id", "score"])
+                    asked_, held, scores = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_), pa.array(held), pa.array(clamp(scores), pa.int64()), pa.array([beyond(int(x)) for x in scores], pa.binary())], ["query_id", "id", "score", "beyond"])
 
-    found = pairs.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = pairs.select("width", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, id long, score long, beyond binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
