@@ -427,10 +427,8 @@ def brute_classes(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join_against_brute_force(spark, seed, monkeypatch):
+def similar_rows(seed):
     rng = random.Random(seed)
-    monkeypatch.setattr(ngram_join, "LONG", 6)
     rows, shared = [], [rng.choice(WORDS) for _ in range(30)]
     for i in range(220):
         if rows and rng.random() < 0.6:
@@ -444,13 +442,26 @@ def test_ngram_join_against_brute_force(spark, seed, monkeypatch):
                 w += shared
         rows.append((i * 3, " ".join(w) or "y"))
     near = [rng.choice(WORDS) for _ in range(60)]
-    for i in range(40):
+    for i in range(60):  # a large group of near copies, some of which link only through others
         w = list(near)
-        w[rng.randrange(60)] = f"n{i}"
+        for j in range(rng.randint(1, 4)):
+            w[rng.randrange(60)] = f"n{i}x{j}"
         rows.append((1000 + i, " ".join(w)))
-    rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "A b\x0bC"), (2004, "a B c"), (2005, "É x"), (2006, "é x"), (2007, "a b c d e " * 20000), (2008, "a b c d e " * 20000)]
+    return rows + [(2000, None), (2001, ""), (2002, " \t"), (2003, "A b\x0bC"), (2004, "a B c"), (2005, "É x"), (2006, "é x"), (2007, "a b c d e " * 20000), (2008, "a b c d e " * 20000)]
+
+
+@pytest.mark.parametrize("seed,light,rounds,bits", [(1, None, 3, 64), (2, None, 0, 64), (3, 8, 3, 64), (4, 30, 0, 5), (5, 1000, 1, 64)])
+def test_ngram_join_against_brute_force(spark, seed, light, rounds, bits, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "COUNTED", 2000)
+    monkeypatch.setattr(ngram_join, "HOT", 3 if seed == 2 else 1 << 20)
+    if light is not None:
+        monkeypatch.setattr(ngram_join, "boundary", lambda *_: light)
+    if seed == 3:  # rows and keys are joined instead of looked up in a map
+        monkeypatch.setattr(ngram_join, "SLOTS_MAX", 0)
+    rows = similar_rows(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_sets(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_sets(df, bits=bits).collect()}
     assert got == brute_classes(rows)
 
 
@@ -462,7 +473,20 @@ def test_ngram_join_defined_cases(spark):
 
 
 def test_boundary_follows_cost():
-    assert ngram_join.boundary({4: 10, 8: 10}, 0.0) <= ngram_join.boundary({4: 10, 8: 10}, 50.0)
+    sizes = {4: 10, 8: 10, 16: 5, 40: 7, 200: 3}
+    met = {4: 0.0, 8: 9.0, 16: 0.5, 40: 100.0, 200: 1.0}
+
+    def cost(at):
+        total = 0.0
+        for n, sets in sizes.items():
+            listed = sets * ngram_join.beginning(n, 1) * (1 + min(ngram_join.ROUNDS, met[n]))
+            pairs = int(ngram_join.beginning(n, 2))
+            total += (sets * pairs * (pairs - 1) / 2 if n <= at else 0) + (listed if n > at or n * 100 >= (at + 1) * 75 else 0)
+        return total
+
+    best = ngram_join.boundary(sizes, met)
+    assert best in (0, *sizes) and cost(best) == min(map(cost, (0, *sizes)))
+    assert ngram_join.boundary({}, {}) == 0
 
 
 # pipeline
