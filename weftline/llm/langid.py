@@ -18,11 +18,10 @@ BUCKETS = 1 << BITS
 #: Labelled rows that a model is fitted on at most, those first by a hash of the key;
 #: every language keeps its share, as the hash knows nothing of it.
 TRAIN_ROWS = 20_000
-#: Languages that a model tells apart at most (the most frequent of the sample).
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
-#: Letters of a text that are counted at a time.
-STRETCH = 1 << 16
+#: Letters of a text that are counted at a time, and numbers of a batch's sparse rows times
+#: languages that are held at a time (one row may be more).
+STRETCH, HELD = 1 << 16, 1 << 21
 
 #: Lower-cased letter of each code point of the basic plane, a space for all else.
 FOLD = np.full(1 << 16, 32, np.uint32)
@@ -59,83 +58,99 @@ def buckets(folded: np.ndarray, starts: int | None = None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, and how often each stands there: a sparse row."""
+    padded = pad(letters(text))
+    counts = np.zeros(BUCKETS + 1, np.int64)
+    for at in range(0, len(padded), STRETCH):
+        counts += np.bincount(buckets(padded[at : at + STRETCH + LONGEST - 1], STRETCH), minlength=BUCKETS + 1)
+    used = np.flatnonzero(counts[:BUCKETS])
+    return used, counts[used]
+
+
 @dataclass
 class Model:
-    """Languages, and log-probabilities of (bucket, language); the last row is zero.
-    Its size is fixed by BUCKETS and MAX_LANGUAGES."""
+    """Languages, and log-probabilities of (bucket, language). A language takes 2^15
+    numbers, 256 KB."""
 
     languages: list[str]
     prior: np.ndarray
     logs: np.ndarray
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and posterior of each text. Counts of a text's buckets make a sparse
-        row; rows times the dense matrix of logs is taken by summing the matrix's rows
-        that a text names."""
-        out, sure = [], []
-        for text in texts:
-            folded = letters(text) if text else np.zeros(0, np.uint32)
-            if not len(self.languages) or not (folded != 32).any():
-                out.append(UNKNOWN)
-                sure.append(0.0)
-                continue
-            total = self.prior.copy()
-            padded = pad(folded)
-            for at in range(0, len(padded), STRETCH):
-                part = buckets(padded[at : at + STRETCH + LONGEST - 1], STRETCH)
-                counts = np.bincount(part, minlength=BUCKETS + 1)
-                used = np.flatnonzero(counts)
-                total += counts[used] @ self.logs[used]
-            best = int(total.argmax())
-            out.append(self.languages[best])
-            sure.append(float(1 / np.exp(total - total[best]).sum()))
-        return out, sure
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, posterior and evidence of each text. The counts of the texts'
+        buckets are sparse rows; these times the dense matrix of logs, some rows at a
+        time, and the prior are the scores. Evidence is how much likelier, as the mean
+        logarithm of an n-gram, the text is in its language than among buckets drawn
+        evenly; unlike the posterior it does not grow with the text."""
+        names, sure, evidence = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if text and self.languages:
+                used, counts = counts_of(text)
+                if len(used):
+                    rows.append((i, used, counts))
+                    size += len(used) * len(self.languages)
+            if rows and (size >= HELD or i == len(texts) - 1):
+                starts = np.cumsum([0] + [len(used) for _, used, _ in rows[:-1]])
+                of, times = np.concatenate([used for _, used, _ in rows]), np.concatenate([counts for *_, counts in rows])
+                total = np.add.reduceat(self.logs[of] * times[:, None], starts, axis=0)
+                best = (total + self.prior).argmax(axis=1)
+                for (at, _, counts), t, b in zip(rows, total, best):
+                    scores = t + self.prior
+                    names[at], sure[at] = self.languages[b], float(1 / np.exp(scores - scores[b]).sum())
+                    evidence[at] = float(t[b] / counts.sum() + np.log(BUCKETS))
+                rows, size = [], 0
+        return names, sure, evidence
 
 
 def fit(df: DataFrame, key: str, text: str, lang: str, rows: int = TRAIN_ROWS) -> Model:
     """A model from at most `rows` labelled rows. Null texts or languages are passed
-    over. The sample is taken by a distributed top-k; workers count its buckets per
-    language, and the driver gets the counts of at most MAX_LANGUAGES languages."""
+    over, rows with a null key teach; equal rows teach once. The sample is taken by a
+    distributed top-k of keys and hashes, ties in order of key, language and hash of the
+    text; workers count its buckets per language, which Spark sums, and the driver gets
+    one row of at most 2^15 counts for each language. An empty table, or one without
+    labels, gives a model without languages."""
     labelled = narrow(df, key=key, text=text, lang=lang).where("text is not null and lang is not null")
     order = [F.xxhash64(F.col("key").cast("string")), "key", "lang", "said"]
     chosen = labelled.select("key", "lang", F.xxhash64("text").alias("said")).distinct().orderBy(*order).limit(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
         for batch in steps(batches):
             for t, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                counts = held.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                padded = pad(letters(t))
-                for at in range(0, len(padded), STRETCH):
-                    counts += np.bincount(buckets(padded[at : at + STRETCH + LONGEST - 1], STRETCH), minlength=BUCKETS + 1)
-                docs[name] = docs.get(name, 0) + 1
-        for name in held:
-            yield pa.RecordBatch.from_pydict({"lang": [name], "docs": [docs[name]], "counts": [held[name].astype("<i8").tobytes()]})
+                used, counts = counts_of(t)
+                if name not in held:
+                    held[name] = np.zeros(BUCKETS + 1, np.int64)
+                held[name][used] += counts
+                held[name][BUCKETS] += 1  # the texts themselves
+        for name, counts in held.items():
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(counts[used])], ["lang", "bucket", "n"])
 
     # What was chosen, keys and a hash of the text, goes back to the table by a join, so
     # that texts are not sorted and counting runs on many tasks; equal rows teach once.
     said = labelled.withColumn("said", F.xxhash64("text"))
-    sample = said.join(F.broadcast(chosen), ["key", "lang", "said"], "left_semi").groupBy("key", "lang", "said").agg(F.min("text").alias("text"))
-    parts = sample.select("text", "lang").mapInArrow(count, "lang string, docs long, counts binary")
-    merged: dict[str, tuple[int, np.ndarray]] = {}
-    for r in parts.toLocalIterator():
-        n, held = merged.get(r.lang, (0, np.zeros(BUCKETS + 1, np.int64)))
-        merged[r.lang] = n + r.docs, held + np.frombuffer(r.counts, "<i8")
-    kept = sorted(sorted(merged, key=lambda x: (-merged[x][0], x))[:MAX_LANGUAGES])
-    if not kept:
-        return Model([], np.zeros(0), np.zeros((BUCKETS + 1, 0)))
-    total = sum(merged[x][0] for x in kept)
-    counts = np.array([merged[x][1][:BUCKETS] for x in kept], float) + 0.5
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return Model(kept, np.log([merged[x][0] / total for x in kept]), np.vstack([logs.T, np.zeros(len(kept))]))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("key", "lang", "said")]
+    sample = said.alias("x").join(F.broadcast(chosen.alias("y")), same, "left_semi").groupBy("key", "lang", "said").agg(F.min("text").alias("text"))
+    summed = sample.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang").collect()
+    if not found:
+        return Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
+    counts = np.zeros((BUCKETS + 1, len(found)))
+    for i, r in enumerate(found):
+        counts[r.buckets, i] = r.n
+    smooth = counts[:BUCKETS] + 0.5
+    return Model([r.lang for r in found], np.log(counts[BUCKETS] / counts[BUCKETS].sum()), np.log(smooth / smooth.sum(axis=0)))
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score): the most probable language of every whole text.
+    """(key, lang_pred, score, evidence): the most probable language of every whole text.
 
-    A text that is null, empty or without any letter is `und` with score 0, as is
-    every text under a model without languages. score is the posterior. Rows come
+    A text that is null, empty or without any letter is `und` with score and evidence 0,
+    as is every text under a model without languages. score is the posterior, evidence
+    what Model.score() says; of equally probable languages the first by name is taken. Rows come
     out as they went in, repeated ones too, null keys kept; other columns are left
     out. No shuffle: the model is broadcast, and texts are read in bounded steps."""
     rows = narrow(df, key=key, text=text)
@@ -143,11 +158,11 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            names, sure = held.value.score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["key", "lang_pred", "score"])
+            names, sure, evidence = held.value.score(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(evidence, pa.float64())], ["key", "lang_pred", "score", "evidence"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, evidence double").withColumnRenamed("key", key)
 
 
 def held_out(key: str = "doc_id") -> Column:
