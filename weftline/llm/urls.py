@@ -17,47 +17,58 @@ from weftline.runtime import table
 #: Rules as (verdict, host, path); the contract's.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: Labelled host names, by themselves or as parts, in natural order.
+#: Words that name what is not wanted and what is, from general knowledge, by subject.
 UNWANTED = """
-adult-cam adult-videos adult-x adult-zone ads-click ads-server ads-track ad-tracker bet-now best-bets big-casino
-bitcoin-double bonus-casino buy-followers buy-pills casino-bonus casino-online casino-win cheap-meds cheap-pills
-cheap-viagra click-farm clickbait-hub crypto-double diet-pills discount-pills essay-mill fake-watches fast-cash
-free-bets free-casino free-iphone free-pills free-prizes free-spins gambling-hub get-rich hot-singles jackpot-win
-keyword-farm link-farm link-spam loan-shark lottery-win malware-drop miracle-pills nude-cams online-bets
-online-casino payday-loans phish-login pill-store poker-win popup-ads porn-tube replica-watches seo-farm seo-spam
-sex-cams sex-chat slot-win slots-casino spam-blog spam-farm spam-links sports-bets track-ads tracker-pixel
-traffic-farm viagra-store warez-hub win-prizes xxx-adult xxx-videos
+casino poker roulette blackjack jackpot slots bets betting bingo lottery wager gambling
+pills pharmacy viagra cialis meds steroids
+porn xxx sex adult nude escorts webcam hookup
+ads adserver advertising banner popup tracker clickbait affiliate
+spam phishing malware spyware warez keygen scam hoax
+loans payday forex replica counterfeit
 """.split()
 WANTED = """
-academy archive arts-council astronomy atlas baker-street bakery biology-notes blog bookshop botany bridge-club
-business-news camera-club chemistry city-library classic-cars climate-data coffee community-garden cooking
-cycling-club daily-news design dictionary docs early-music economics encyclopedia engineering farm-museum film-review
-folk-songs football-club forum free-software garden geography geology gov-data health-service history-society
-home-cooking housing journal kitchen language-school law-review library literature local-news magazine maps mathematics
-medical-school museum music nature-watch news open-data opera painting parks philosophy photography physics poetry
-public-library radio railway-history recipes research review rivers sailing-club school science-notes sports-results
-story-tellers tennis-club theatre times tower-bridge train-times travel-notes university village-hall weather
-wiki windmill winter-sports world-atlas writers-room
+library museum archive theatre cinema gallery opera orchestra
+university school college academy kindergarten
+hospital clinic dentist health
+weather news radio magazine journal newspaper
+recipes kitchen bakery coffee restaurant
+garden forest river mountain village harbour farm
+physics chemistry biology geology astronomy mathematics medicine economics law history philosophy linguistics
+music poetry painting photography literature architecture
+football tennis cycling sailing chess hiking
+railway airport travel hotel atlas
+wiki dictionary encyclopedia documents software blog forum shop
 """.split()
-#: Syllables from which ordinary invented names are built, so that an unknown name
-#: without a word of the unwanted kind counts as ordinary.
-SYLLABLES = "an ar ble ca de ea ed en er es ha he in ing is la le ly mi mo nd nt on or ou re sh st ta th ti tion un ver wh".split()
+#: Words that stand beside either kind and say nothing.
+BESIDE = ("", "best", "top", "online", "my", "world", "club", "point", "direct")
+#: Ordinary names are also invented: two or three syllables of a consonant and a vowel, so
+#: that an unknown name without a word of the unwanted kind counts as ordinary.
+CONSONANTS, VOWELS = "bdfgklmnprstv", "aeiou"
 
 BITS, LOW, HIGH = 15, 3, 5
 
 
+def names() -> list[tuple[str, int]]:
+    """Host names and their label, 1 if unwanted: every word by itself and with each word
+    that says nothing, before or after it, and invented names."""
+    found = []
+    for label, words in ((1, UNWANTED), (0, WANTED)):
+        for k, word in enumerate(words):
+            for i, other in enumerate(BESIDE):
+                found.append(("-".join(w for w in ((other, word) if (i + k) % 2 else (word, other)) if w), label))
+    syllables = [c + v for c in CONSONANTS for v in VOWELS]
+    n = len(syllables)
+    for i in range(4 * n):
+        found.append((syllables[i % n] + syllables[(7 * i + 3) % n] + (syllables[(11 * i + 5) % n] if i % 2 else ""), 0))
+    return found
+
+
 def training_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if unwanted): the labelled table, built by rule from the names
-    above: each with and without a common first label, under neutral endings, and
-    with one path of the same few for either class. Some 700 rows."""
-    ends, firsts, paths = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m."), ("/", "/en/12", "/de/345.html", "/fr/67/", "/es/890", "/index.html", "/news/2024/05")
-    made = [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in (SYLLABLES[(3 * i + 5 * j) % len(SYLLABLES)],) if (i * 7 + j) % 5 == 0]
-    rows = []
-    for label, names in ((1, UNWANTED), (0, WANTED), (0, made)):
-        for k, name in enumerate(names):
-            for r in range(4 if label else 2 if names is WANTED else 1):
-                rows.append((f"{firsts[(k + r) % 4]}{name}.{ends[(k + r) % 3]}", paths[(k + 2 * r) % len(paths)], label))
-    return rows
+    """(host, path, 1 if unwanted): the labelled table, names() under the endings kept for
+    examples and common first labels, with one path of the same few for either class.
+    Some 1,300 rows."""
+    ends, firsts, paths = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m."), ("/", "/index.html", "/en/1", "/de/22.html", "/fr/333/", "/es/4444", "/news/2024/05")
+    return [(f"{firsts[k % 4]}{name}.{ends[k % 3]}", paths[k % 7], label) for k, (name, label) in enumerate(names())]
 
 
 def grams(host: str, path: str) -> list[int]:
@@ -102,8 +113,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct<rule, verdict> of the longest rule that fits, null if none does. A rule
     fits its host and all subdomains where the path starts with the rule's; of equal
-    lengths the first in the alphabet wins."""
-    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    lengths the first in the alphabet wins, of equal ones with both verdicts allow."""
+    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0]))
     fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in ranked]
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
