@@ -8,11 +8,12 @@ phrases do not count.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -25,14 +26,16 @@ from weftline.llm.common import narrow, remainder, steps
 from weftline.runtime import materialize, table
 
 #: Labelled rows of each class that a lexicon is learnt from at most, those first by
-#: a hash of the key; entries that it keeps at most.
-TRAIN_ROWS, MAX_ENTRIES = 6_000, 4_000
+#: a hash of the key.
+TRAIN_ROWS = 6_000
 #: Lengths of the word beginnings that may become entries.
 SHORTEST, LONGEST = 3, 10
-#: What an entry needs: toxic rows that hold it, its share of toxic among the rows
-#: that hold it, and how improbable that is by chance. A longer beginning that SAME of an
-#: entry's toxic rows hold takes its place.
-LEAST_ROWS, PURITY, CHANCE, SAME = 4, 0.97, 1e-5, 0.95
+#: What an entry needs: toxic rows that hold it, and how improbable that is by chance. A
+#: longer beginning that SAME of an entry's toxic rows hold takes its place.
+LEAST_ROWS, CHANCE, SAME = 4, 1e-5, 0.95
+#: The share of toxic rows among those that hold an entry is one of these: the one with the
+#: least loss when the lexicon of all but one fold of the learning rows scores that fold.
+PURITIES, FOLDS = (0.6, 0.75, 0.9, 0.97), 3
 
 #: Characters that look like Latin letters, and digits and signs that
 #: stand for letters.
@@ -46,7 +49,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Characters without width that may split a word.
 UNSEEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿͏"))
-#: Phrases in which a word of the lexicon is harmless.
+#: Phrases in which a word of the lexicon is harmless, beside those learnt.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash cans", "trash collection", "clown fish", "clown car", "pond scum", "sore loser rule", "idiot proof", "stupid simple")
 
 GLYPHS = str.maketrans(HOMOGLYPHS) | UNSEEN
@@ -78,7 +81,8 @@ def words(text: str | None) -> list[str]:
 @dataclass
 class Lexicon:
     """Weights of entries (a stem, or a whole word if it ends in a space), and the
-    coefficients that turn matches into a score. Its size is bounded by MAX_ENTRIES."""
+    coefficients that turn matches into a score. Its size is bounded by the words of
+    the rows that taught it: each entry stands in LEAST_ROWS of them."""
 
     entries: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -95,10 +99,26 @@ class Lexicon:
         found.make_automaton()
         return found
 
+    def phrases(self, matcher: ahocorasick.Automaton | None, text: str | None) -> set[str]:
+        """Pairs of neighbouring words, the first or the second of which an entry matches."""
+        said = words(text)
+        if not said or matcher is None:
+            return set()
+        line = f" {' '.join(said)} "
+        starts = {end - size for end, (size, _) in matcher.iter(line) if size > 0}
+        at, found = 0, set()
+        for i, w in enumerate(said):
+            if at in starts:
+                found.update(" ".join(said[k : k + 2]) for k in (i - 1, i) if 0 <= k < len(said) - 1)
+            at += len(w) + 1
+        return found
+
     def features(self, matcher: ahocorasick.Automaton | None, text: str | None) -> tuple[float, float]:
         """Sum of the weights of the words matched (each word by its heaviest entry),
         and that sum by a hundred words, both as logarithms."""
-        said = words(text)
+        return self.features_of(matcher, words(text))
+
+    def features_of(self, matcher: ahocorasick.Automaton | None, said: list[str]) -> tuple[float, float]:
         if not said or matcher is None:
             return 0.0, 0.0
         line = f" {' '.join(said)} "
@@ -137,36 +157,106 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     over. Every word beginning of SHORTEST to LONGEST letters, and every whole word,
     is counted by the rows of either class that hold it; an entry is the shortest
     beginning that is pure enough and no accident, or the longer one that is nearly
-    always meant by it, weighted by its log odds. The coefficients are those of a
-    logistic regression on the same rows. Too few toxic rows give an empty lexicon,
+    always meant by it, weighted by its log odds. Exceptions are `exceptions` and the
+    pairs of words that hold an entry in LEAST_ROWS clean rows and in no toxic one. The
+    coefficients are those of a logistic regression on the same rows. A key that has
+    both labels teaches both, a repeated row once. Too few toxic rows give an empty lexicon,
     whose scores are all low."""
     known = narrow(labels, key=key, toxic=toxic).where("key is not null and toxic in (0, 1)")
-    sample = materialize(_sample(narrow(texts, key=key, text=text), known, rows))
+    sample = _sample(narrow(texts, key=key, text=text), known, rows)
+    sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(1)), F.lit(FOLDS)).cast("int")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
+        held = [Counter() for _ in range(2 * FOLDS)]
         for batch in steps(batches):
-            for t, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for t, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 seen = set()
                 for w in set(words(t)):
                     seen.update([w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1)])
                     seen.add(w + " ")
-                held[label].update(seen)
-            if len(held[0]) + len(held[1]) > 400_000:
+                held[2 * fold + label].update(seen)
+            if sum(map(len, held)) > 400_000:
                 yield from _counted(held)
-                held = (Counter(), Counter())
+                held = [Counter() for _ in range(2 * FOLDS)]
         yield from _counted(held)
 
-    features = sample.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic:
+    # c0 to c5: the clean and toxic rows of each fold that hold an entry.
+    columns = [f"c{i}" for i in range(2 * FOLDS)]
+    features = sample.mapInArrow(count, "entry string, " + ", ".join(f"{c} long" for c in columns)).groupBy("entry").agg(*[F.sum(c).alias(c) for c in columns])
+    sizes = np.zeros((FOLDS, 2), int)
+    for r in sample.groupBy("fold", "toxic").count().collect():
+        sizes[r.fold, r.toxic] = r["count"]
+    parts = [[g for g in range(FOLDS) if g != fold] for fold in range(FOLDS)] + [list(range(FOLDS))]  # the last one: all
+    if not sizes[:, 1].sum():
         return Lexicon(exceptions=exceptions)
-    pure = F.col("toxic") * n_clean / F.greatest(F.lit(1), F.lit(n_toxic))
-    likely = features.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))) & (pure >= PURITY * (pure + F.col("clean"))))
-    found = [(r.entry, r.toxic, r.clean) for r in likely.orderBy(F.desc("toxic"), "clean", "entry").limit(10 * MAX_ENTRIES).collect()]
-    share = n_toxic / (n_toxic + n_clean)
-    sound = {e: (t, c) for e, t, c in found if _chance(t, t + c, share) <= CHANCE}
+    likely = []
+    for part in parts:
+        toxic_, clean = (sum((F.col(f"c{2 * g + label}") for g in part), F.lit(0)) for label in (1, 0))
+        likely.append((toxic_ >= LEAST_ROWS) & (toxic_ >= min(PURITIES) * (toxic_ + clean)))
+    likely = features.where(functools.reduce(lambda x, y: x | y, likely)).collect()  # of at most `rows` toxic rows, LEAST_ROWS of which hold each
+    counts = np.array([[r[c] for c in columns] for r in likely], int).reshape(len(likely), FOLDS, 2)
+
+    def lexicon_of(part: list[int], purity: float) -> Lexicon:
+        held = counts[:, part].sum(axis=1).tolist()
+        n_clean, n_toxic = sizes[part].sum(axis=0).tolist()
+        return Lexicon(_entries({r.entry: (t, c) for r, (c, t) in zip(likely, held)}, n_toxic, n_clean, purity), exceptions)
+
+    tried = [lexicon_of(part, purity) for purity in PURITIES for part in parts[:-1]]
+    taught = _measured(sample, tried)
+    losses = []
+    for k, _ in enumerate(PURITIES):
+        loss = 0.0
+        for fold in range(FOLDS):
+            i = k * FOLDS + fold
+            x, y, own = taught[:, [2 * i, 2 * i + 1]], taught[:, -2], taught[:, -1] == fold
+            w = _regress(x[~own], y[~own])
+            p = 1 / (1 + np.exp(-np.clip(w[0] + x[own] @ w[1:], -50, 50)))
+            loss -= float(np.log(np.clip(np.where(y[own] == 1, p, 1 - p), 1e-9, 1)).sum())
+        losses.append(loss)
+    purity = max(zip([-x for x in losses], PURITIES))[1]
+    lexicon = lexicon_of(parts[-1], purity)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lexicon.matcher()
+        for batch in steps(batches):
+            held = (Counter(), Counter())
+            for t, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                held[label].update(lexicon.phrases(matcher, t))
+            yield from _counted(held)
+
+    # Two words, one of which matches, that clean rows hold and toxic ones do not.
+    spared = sample.mapInArrow(phrases, "entry string, c0 long, c1 long").groupBy("entry").agg(F.sum("c0").alias("clean"), F.sum("c1").alias("toxic"))
+    learnt = spared.where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0)).orderBy("entry").collect()  # of at most `rows` clean rows, LEAST_ROWS of which hold each
+    lexicon.exceptions = (*exceptions, *(r.entry for r in learnt))
+
+    taught = _measured(sample, [lexicon])
+    lexicon.coefficients = _regress(taught[:, :2], taught[:, 2])
+    return lexicon
+
+
+def _measured(sample: DataFrame, lexicons: list[Lexicon]) -> np.ndarray:
+    """For each row of the sample its two features by each lexicon, toxic and fold: a
+    bounded table of numbers, in no order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = [x.matcher() for x in lexicons]
+        for batch in steps(batches):
+            said = [words(t) for t in batch.column("text").to_pylist()]
+            found = np.array([[n for x, m in zip(lexicons, matchers) for n in x.features_of(m, w)] for w in said], float)
+            rows = np.hstack([found, np.array([batch.column("toxic").to_pylist(), batch.column("fold").to_pylist()], float).T])
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64()))], ["row"])
+
+    rows = sample.mapInArrow(run, "row array<double>").toArrow()["row"].to_pylist()
+    return np.array(rows, float).reshape(len(rows), 2 * len(lexicons) + 2)
+
+
+def _entries(counted: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, purity: float) -> dict[str, float]:
+    """Entries and their weights, of the toxic and clean rows that hold each."""
+    if not n_toxic:
+        return {}
+    share, scale = n_toxic / (n_toxic + n_clean), n_clean / n_toxic
+    pure = {e: (t, c) for e, (t, c) in counted.items() if t >= LEAST_ROWS and t >= purity * (t + c) and t * scale >= purity * (t * scale + c)}
+    sound = {e: (t, c) for e, (t, c) in pure.items() if _chance(t, t + c, share) <= CHANCE}
     # Of a beginning and longer ones that nearly as many rows hold, the longest is meant.
     meant: dict[str, str] = {}
     for e in sorted(sound, key=lambda e: (len(e), e)):
@@ -176,27 +266,18 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         meant.setdefault(e, e)
     entries = {}
     for e in sorted(sound, key=lambda e: (-sound[e][0], len(e), e)):
-        if len(entries) < MAX_ENTRIES and not any(e[:n] in sound for n in range(SHORTEST, len(e))):
+        if not any(e[:n] in sound for n in range(SHORTEST, len(e))):
             t, c = sound[meant[e]]
             entries[meant[e]] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-    lexicon = Lexicon(entries, exceptions)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = lexicon.matcher()
-        for batch in steps(batches):
-            got = [lexicon.features(matcher, t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), batch.column("toxic").cast(pa.int32())], ["a", "b", "toxic"])
-
-    taught = sample.mapInArrow(measure, "a double, b double, toxic int").toPandas()  # at most 2 * rows rows of three numbers
-    lexicon.coefficients = _regress(taught[["a", "b"]].to_numpy(), taught.toxic.to_numpy(float))
-    return lexicon
+    return entries
 
 
-def _counted(held: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-    keys = list(held[0].keys() | held[1].keys())
+def _counted(held: Sequence[Counter]) -> Iterator[pa.RecordBatch]:
+    """Rows of an entry and its count in each of the counters."""
+    keys = list(set().union(*held))
     for i in range(0, len(keys), 20_000):
         part = keys[i : i + 20_000]
-        yield pa.RecordBatch.from_pydict({"entry": part, "toxic": [held[1][k] for k in part], "clean": [held[0][k] for k in part]})
+        yield pa.RecordBatch.from_pydict({"entry": part} | {f"c{i}": [x[k] for k in part] for i, x in enumerate(held)})
 
 
 def _chance(hits: int, n: int, share: float) -> float:
