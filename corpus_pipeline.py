@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from weftline.llm import langid, ngram_join, packing, toxicity
 from weftline.runtime import materialize, table
 
-#: A document is rejected from this toxicity on, and below this posterior of a language.
-TOXIC, SURE = 0.5, 0.5
+#: A document is rejected from this toxicity on, below this posterior of a language, and
+#: below this evidence for it (0: no likelier than among n-grams drawn evenly).
+TOXIC, SURE, EVIDENCE = 0.5, 0.5, 0.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +31,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt from those of these documents that are
     not held out. Texts that are null or without a letter, and texts whose best
-    language has a posterior below SURE, go."""
+    language has a posterior below SURE or evidence below EVIDENCE, go: the posterior
+    tells the learnt languages apart, the evidence tells text in one of them from text
+    in none. Where no document teaches a language, all go."""
     model = langid.fit_documents(docs)
     found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model, key="row")
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select("row.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE) & (F.col("evidence") >= EVIDENCE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's result written before the next reads it."""
+    """All stages over documents, each stage's result written before the next reads it.
+
+    An empty table gives no rows. A repeated row is judged as often as it stands there
+    by the first two stages, and once by the third; null and empty texts are not toxic,
+    are in no language and go with the second stage."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
