@@ -169,6 +169,43 @@ def test_toxicity_learns_stems_and_folds(spark):
     assert not empty.entries and toxicity.score(texts.limit(0), empty).count() == 0
 
 
+def test_toxicity_against_plain_matching(spark, sf):
+    documents, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn_documents(documents, labels)
+    spared = [toxicity.words(p) for p in lexicon.exceptions]
+
+    def plain(text):
+        said, total = toxicity.words(text), 0.0
+        free = {i + k for i in range(len(said)) for p in spared if said[i : i + len(p)] == p for k in range(len(p))}
+        for i, w in enumerate(said):
+            fits = [x for e, x in lexicon.entries.items() if (w + " ").startswith(e)]
+            total += max(fits) if fits and i not in free else 0.0
+        a, b, c = lexicon.coefficients
+        return 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * np.log1p(100 * total / max(1, len(said))))))
+
+    got = {r.doc_id: r.score for r in toxicity.score(documents, lexicon).collect()}
+    for r in documents.where("doc_id % 7 = 0").collect():
+        assert got[r.doc_id] == pytest.approx(plain(r.text))
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(600):
+        said = [rng.choice(WORDS) for _ in range(30)]
+        if i % 4 == 0:
+            said.insert(rng.randrange(30), "zorg")
+        elif i % 100 == 1:
+            said.insert(rng.randrange(30), "zorg lamp")
+        rows.append((i, " ".join(said), int(i % 4 == 0)))
+    both = [(0, 0), (4, 1), (4, 1)]  # a key with two labels, and a label twice
+    texts, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, b) for i, _, b in rows] + both, "doc_id long, toxic int")
+    lexicon = toxicity.learn(texts, labels)
+    assert "zorg lamp" in lexicon.exceptions
+    df = spark.createDataFrame([(1, "alpha zorg beta"), (2, "alpha zorg lamp beta"), (3, "alpha zorg lamp zorg beta")], "doc_id long, text string")
+    assert [r.score >= 0.5 for r in toxicity.score(df, lexicon).orderBy("doc_id").collect()] == [True, False, True]
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     large = sf.replace("0.001", "0.01")
     found = toxicity.op3_toxicity(spark, large).where("held_out")
@@ -211,7 +248,9 @@ def test_chat_reads_back(spark):
 # embeddings
 
 
-def test_pivots_against_brute_force(spark):
+@pytest.mark.parametrize("tile", [1024, 24])
+def test_pivots_against_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(pivots, "TILE", tile)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(60, 16))
     x = [base[i % 60] + rng.normal(size=16) * rng.choice((0.0, 0.03, 0.05, 0.6)) for i in range(400)]
@@ -239,6 +278,36 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_classes(df.limit(0)).count() == 0
 
 
+def test_pivots_recall_and_work(spark):
+    """Planted pairs of cosine 0.98 to 0.99 among vectors of which most link with none."""
+    rng = np.random.default_rng(12)
+    n, planted = 12_000, 1_500
+    x = rng.normal(size=(n, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(planted, 48))
+    side -= (side * x[:planted]).sum(axis=1, keepdims=True) * x[:planted]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.99, (planted, 1))
+    x = np.vstack([x, cosine * x[:planted] + np.sqrt(1 - cosine**2) * side])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in pivots.near_classes(df).where("n_links > 0").collect()}
+    found = sum(i in got and n + i in got and got[i].component_id == got[n + i].component_id for i in range(planted))
+    every = pivots.fit_pivots(df.select(F.col("embedding").alias("v")), int(np.ceil(pivots.EACH * np.sqrt(len(x)))))
+    near = pivots.described(x, every)[:, : pivots.POSTED]
+    lists = np.bincount(near.ravel()).astype(float)
+    share = (lists * (lists - 1)).sum() / (len(x) * (len(x) - 1.0))
+    print(f"planted pairs {planted}, found {found}, pairs that meet in lists {share:.3f} of all")
+    assert found >= 0.98 * planted and share <= 0.1
+    assert set(got) <= set(range(planted)) | set(range(n, n + planted))
+
+
+def test_pivots_of_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-310, 1e-310], 1), (4, [-1.0, 1.0], 1), (4, [-1.0, 1.0], 1), (5, [3.0, -3.0], 1), (1, [5.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_classes(df).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True)]
+
+
 # BPE
 
 
