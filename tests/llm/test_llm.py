@@ -28,7 +28,7 @@ def vocabulary():
 def brute_top(rows, k, every):
     sound = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
-    for q, v in {i: v for i, v in sound if i % every == 0}.items():
+    for q, v in {i: v for i, v in sorted(sound, key=lambda r: r[1], reverse=True) if i % every == 0}.items():
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q)
         out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)}
     return out
@@ -37,7 +37,7 @@ def brute_top(rows, k, every):
 def test_top_k_is_exact(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.choice((-0.5, -0.25, 0.0, 0.25, rng.uniform(-1, 1))) for _ in range(6)]) for i in range(300)]
-    rows += [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [float("inf")] + [0.0] * 5), (304, []), (None, [1.0] * 6)]
+    rows += [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [float("inf")] + [0.0] * 5), (304, []), (None, [1.0] * 6), (10, [0.5] * 6), (10, [0.25] * 6)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, score string, rank int")
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERIES", 4)
@@ -72,6 +72,24 @@ def test_bounds_hold():
     assert (low == high).all()
 
 
+def test_reading_stops_early_and_loses_nothing():
+    rng = np.random.default_rng(14)
+    x, q = rng.integers(-60, 60, (900, 12)), rng.integers(-60, 60, (20, 12)).astype(float)
+    x[7] = x[8] = q[0]
+    ids = np.arange(900)
+    kth = np.sort(q @ x.T, axis=1)[:, -6].astype(float)
+    depths = []
+    for known in (None, kth):
+        got = {}
+        for at, found, scores, depth in topk.Lists(x, ids).search(q, np.full(20, -1), 5, known):
+            got[at] = list(zip(found.tolist(), scores.tolist()))
+            depths.append(depth)
+        for i in range(20):
+            scored = sorted(zip((-(q[i] @ x.T)).astype(int).tolist(), ids.tolist()))[:5]
+            assert got[i] == [(j, -s) for s, j in scored]
+    assert min(depths[20:]) < 1 and np.mean(depths[20:]) < np.mean(depths[:20])
+
+
 # packing
 
 

@@ -5,7 +5,9 @@ large end where the query's weight is positive, from the small end where it is
 negative). After each depth, what has been read gives every candidate a lower and an
 upper bound of its score: a coordinate not yet read is at most what the list stands
 at, and at least the list's other end. Reading stops when no outsider's upper bound
-reaches the k-th lower bound; the scores of those left are then resolved.
+reaches the k-th lower bound; the scores of those left are then resolved. Lists are built
+for blocks of rows, and the k-th best score of the blocks that a task has resolved is a
+lower bound from the start in its next ones.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from weftline.llm.common import narrow
 from weftline.runtime import table
 
 SCALE, TOP = 256, 5
-#: Candidates whose lists are built together, and queries that are run on them at a time.
-BLOCK, QUERIES = 4096, 256
+#: Candidates whose lists are built together, queries that are run on them at a time, and
+#: blocks that a task goes through one after the other.
+BLOCK, QUERIES, RUN = 1024, 256, 8
 #: Whole numbers up to here are exact in double precision; scores go up to LONG_MAX.
 EXACT, LONG_MAX = 2**53, 2**63 - 1
-#: Depths, as shares of a list, at which bounds are taken.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
+#: Depths, as shares of a list, at which bounds are taken, and the share of a block that is
+#: resolved when no more than it, or a few times k, is left.
+DEPTHS, LEFT = (1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1), 1 / 8
 
 
 def limbs(x: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -86,37 +90,44 @@ class Lists:
         lower += down @ np.where(x <= low, x, last).T
         return lower, upper
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's position, ids, exact scores) of each query's best k in this block,
-        itself left out; ties to the smaller id. Where a sum of whole numbers may pass
-        2^53, up to which doubles are exact, all scores are resolved in limbs."""
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        """(query's position, ids, exact scores, depth read) of each query's best k in this
+        block, itself left out; ties to the smaller id. known[q] is a score that k other
+        rows reach: rows below it are left out, those that equal it are not. Where a sum of
+        whole numbers may pass 2^53, up to which doubles are exact, all scores are
+        resolved in limbs."""
         n = len(self.ids)
         if float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1] >= EXACT:
             for q in range(len(queries)):
                 scores = products(queries[q : q + 1], self.vectors)[0]
                 best = heapq.nsmallest(k, np.flatnonzero(self.ids != query_ids[q]).tolist(), key=lambda i: (-scores[i], self.ids[i]))
                 if best:
-                    yield q, self.ids[best], scores[best]
+                    yield q, self.ids[best], scores[best], 1.0
             return
         open_ = np.arange(len(queries))
         rows = np.arange(n)
-        for depth in [max(1, int(n * share)) for share in DEPTHS]:
+        floor = np.full(len(queries), -np.inf) if known is None else known.copy()
+        for share in DEPTHS:
+            depth = max(1, int(n * share))
             if not len(open_):
                 break
             lower, upper = self.bounds(queries[open_], depth, rows)
             own = self.ids[rows][None, :] == query_ids[open_][:, None]
             lower[own] = -np.inf
             upper[own] = -np.inf
-            kth = -np.partition(-lower, min(k, n) - 1, axis=1)[:, min(k, n) - 1] if n else np.zeros(len(open_))
-            left = (upper >= kth[:, None]) & np.isfinite(upper)
+            if len(rows) >= k:
+                floor[open_] = np.maximum(floor[open_], -np.partition(-lower, k - 1, axis=1)[:, k - 1])
+            left = (upper >= floor[open_][:, None]) & np.isfinite(upper)
             few = left.sum(axis=1)
-            done = (few <= 4 * k) | (depth >= n)
+            done = (few <= max(4 * k, n * LEFT)) | (depth >= n)
             for q in np.flatnonzero(done):
                 at = rows[left[q]]
                 scores = self.vectors[at] @ queries[open_[q]]
                 best = np.lexsort((self.ids[at], -scores))[:k]
-                yield int(open_[q]), self.ids[at][best], scores[best].astype(np.int64)
+                best = best[scores[best] >= floor[open_[q]]]
+                yield int(open_[q]), self.ids[at][best], scores[best].astype(np.int64), share
             open_ = open_[~done]
+            rows = rows[left[~done].any(axis=0)]  # an outsider of every query is read no further
 
 
 def _blocks(df: DataFrame, rows: int, salt: int) -> tuple[DataFrame, int]:
@@ -168,18 +179,23 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
 
     Rows and queries are dealt by hash into blocks of bounded size; each pair of blocks
     is searched by itself, so nothing is broadcast, and every search passes on at most
-    k rows a query; these meet in a ranking that keeps k before it shuffles."""
+    k rows a query; these meet in a ranking that keeps k before it shuffles. Of several
+    vectors of a query's key the first in order is the query's. An empty table gives
+    no rows."""
     use = lambda t: narrow(t, id=key, v=vector).select(F.col("id").cast("long").alias("id"), whole_numbers(F.col("v"), scale).alias("v")).where("id is not null and v is not null")
-    rows, asked = use(df), use(queries).dropDuplicates(["id"])
+    rows, asked = use(df), use(queries).groupBy("id").agg(F.min("v").alias("v"))
     left, n = _blocks(rows, BLOCK, 1)
     right, _ = _blocks(asked, QUERIES, 2)
     # The stated queries against all rows, block by block: every block of queries is
-    # sent to every block of rows, and blocks are dealt evenly to tasks.
-    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = left.repartition(2 * n, "block", "width").join(right.repartition(2 * n, "block", "width"), ["block", "width"])
+    # sent to every run of blocks of rows, and runs are dealt evenly to tasks.
+    runs = -(-n // RUN)
+    left = left.withColumn("run", F.col("block") % runs)
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = left.repartition(runs, "run", "width").join(right.repartition(runs, "run", "width"), ["run", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists = None, None
+        reached: dict[tuple[int, int], list[int]] = {}  # a query's k best scores here so far
         clamp = lambda s: [max(-LONG_MAX - 1, min(LONG_MAX, int(x))) for x in s]
         for batch in batches:
             for i in range(batch.num_rows):
@@ -187,7 +203,13 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                 if (width, ids) != last:
                     last, lists = (width, ids), Lists(unpacked(vectors, len(ids) // 8, width), np.frombuffer(ids, "<i8"))
                 q = np.frombuffer(q_ids, "<i8")
-                out = [(np.full(len(a), q[at]), a, s) for at, a, s in lists.search(unpacked(q_vectors, len(q), width), q, k)]
+                keys = [(width, x) for x in q.tolist()]
+                known = np.array([reached[x][-1] if len(reached.get(x, ())) == k else -np.inf for x in keys], float)
+                out = []
+                for at, a, scores, _ in lists.search(unpacked(q_vectors, len(q), width), q, k, known):
+                    if len(a):
+                        reached[keys[at]] = sorted([*reached.get(keys[at], ()), *scores.tolist()], reverse=True)[:k]
+                        out.append((np.full(len(a), q[at]), a, scores))
                 if out:
                     asked_, held, scores = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(asked_), pa.array(held), pa.array(clamp(scores), pa.int64()), pa.array([beyond(int(x)) for x in scores], pa.binary())], ["query_id", "id", "score", "beyond"])
