@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -402,6 +403,49 @@ def test_html_container_only_where_the_text_lies_in_it():
         assert html_text.main_text(PAGE % page % tuple(halves)) == "\n\n".join(PARAGRAPHS)
 
 
+def test_html_malformed_pages_lose_nothing():
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    expected = "\n\n".join(PARAGRAPHS)
+    for name in ("object", "svg", "select", "noscript", "template"):
+        assert html_text.main_text(PAGE % f"<article><{name} data=x>{text}</article>") == expected
+        assert html_text.main_text(PAGE % f"<article><{name}><i>not this</i></{name}>{text}</article><{name}></{name}>") == expected
+    assert html_text.main_text(PAGE % f'<article class="social-history">{text}</article>') == expected
+    assert html_text.main_text(PAGE % f'<article>{text}<p class="social-history">On it.</p><p class="social-links">Not it.</p></article>') == expected + "\n\nOn it."
+    assert html_text.main_text(PAGE % f"<article><p>{'</b></i>'.join(PARAGRAPHS)}") == "".join(PARAGRAPHS)
+    deep = "<div>" * 20_000 + text
+    assert html_text.main_text(deep) == expected
+
+
+def test_html_time_is_linear():
+    for bit in ("<p>x y z</i>", "<object><b>x y z</i><li>", "<li><b>k</li>", "<svg><p>x", "<div>x", "<article>y z", "<section class=a>a b<p>c"):
+        began = time.perf_counter()
+        html_text.main_text("<article>" + bit * 50_000)
+        assert time.perf_counter() - began < 10
+
+
+def test_stretches_against_brute_force():
+    rng = random.Random(15)
+    for _ in range(300):
+        weight = [rng.choice((0, 0, 5, 15, 30, 60)) for _ in range(rng.randint(1, 25))]
+        sums = [sum(weight[i : i + html_text.WINDOW]) for i in range(len(weight))]
+        expected, i = [], 0
+        while i < len(weight):
+            if weight[i] and sums[i] > html_text.SURGE:
+                j = next((j for j in range(i, len(weight)) if sums[j] <= html_text.DIVE), len(weight))
+                expected.append((i, j))
+                i = j
+            i += 1
+        assert html_text.stretches(np.array(weight, np.int64)) == expected
+
+
+def test_html_text_does_not_rest_on_article_tags(spark, sf):
+    """Line blocks alone find the same text, but on pages too short for a surge."""
+    pages = [r.html for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    plain = [re.sub(r"(</?)(article|main)\b", r"\1div", p or "") for p in pages]
+    same = [html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, plain)]
+    assert sum(same) >= 0.99 * len(same)
+
+
 def test_html_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in html_text.op7_html_extraction(spark, sf).collect():

@@ -25,8 +25,12 @@ WINDOW, SURGE, DIVE = 3, 40, 0
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Elements whose content is raw text up to their own end tag, never shown.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes")
+#: Elements whose content is raw text up to their own end tag, or the page's end, never shown.
+RAW = frozenset(("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"))
+#: Elements that hold other markup and nothing of the text, up to their own end tag; where
+#: there is none before an end that no such element spans, the tag alone is passed over.
+SKIPPED = frozenset(("noscript", "template", "svg", "math", "object", "select"))
+BEYOND = re.compile(r"</?(?:article|main|body)(?=[\s/>])|\Z", re.I)
 #: Elements that are not part of an article.
 ASIDE = frozenset("nav header footer aside form button menu dialog fieldset head datalist label input option video audio canvas map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -37,6 +41,12 @@ MARKS = frozenset(
     " promo promoted promotion promotions related replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe"
     " subscription toolbar widget widgets".split()
 )
+#: Words that may stand beside these in one name without changing what it says.
+NEUTRAL = frozenset(
+    "a area bar block body bottom box button buttons card center col column container content desktop form global group icon icons id inner item items js"
+    " left line link links list main mobile module outer page panel post posts primary right row secondary section site slot small sticky text title top"
+    " unit wrap wrapper".split()
+)
 CONTAINERS = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "address article blockquote body br center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html hgroup legend li main ol p pre"
@@ -47,21 +57,69 @@ GROUPS = frozenset("article body center details div main section table td".split
 CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end at their sibling when their end tag is left out.
+CLOSES_P = BLOCKS - frozenset(("br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"))
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose end tag is not left out across, by what is left out.
+FENCES = frozenset("ul ol dl table tbody thead tfoot select div article section".split())
+P_FENCES = frozenset("table td th caption button".split())
 SPACES = re.compile(r"\s+")
 
 
+END = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for name in RAW | SKIPPED}
+
+
 @dataclass
 class Line:
     """One block's text, how much of it is link text, whether it lies in an element
-    that is no part of an article, the articles and mains around it and the groups
-    around it (name and class), both from the outermost in."""
+    that is no part of an article, the innermost article or main around it and the
+    innermost group (name and class), as numbers of the page's trees."""
 
     text: str
     linked: int
     aside: bool
-    containers: tuple[int, ...]
-    groups: tuple[str, ...]
+    container: int
+    group: int
+
+
+class Tree:
+    """Elements inside elements, the root being 0 and each numbered after the one around it."""
+
+    def __init__(self) -> None:
+        self.parents, self.names, self.depths = [0], [""], [0]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, name: str) -> int:
+        self.parents.append(parent)
+        self.names.append(name)
+        self.depths.append(self.depths[parent] + 1)
+        return len(self.parents) - 1
+
+    def same(self, parent: int, name: str) -> int:
+        """The element of that name in the parent, one for all."""
+        if (parent, name) not in self.known:
+            self.known[parent, name] = self.add(parent, name)
+        return self.known[parent, name]
+
+    def within(self, tops: set[int]) -> list[bool]:
+        """For each element whether it is one of these or inside one."""
+        found = [0 in tops]
+        for i in range(1, len(self.parents)):
+            found.append(i in tops or found[self.parents[i]])
+        return found
+
+    def sums(self, weights: dict[int, int]) -> list[int]:
+        """For each element the weight of itself and all inside it."""
+        total = [weights.get(i, 0) for i in range(len(self.parents))]
+        for i in range(len(total) - 1, 0, -1):
+            total[self.parents[i]] += total[i]
+        return total
+
+
+@dataclass
+class Page:
+    lines: list[Line]
+    containers: Tree
+    groups: Tree
 
 
 def is_aside(name: str, rest: str) -> bool:
@@ -71,29 +129,46 @@ def is_aside(name: str, rest: str) -> bool:
         return "hidden" in rest and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), next((v for v in values if v), "").lower()
-        if key in ("class", "id") and MARKS.intersection(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and any(map(is_mark, value.split())):
             return True
         if key == "role" and value.strip() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
 
-def lines_of(page: str) -> list[Line]:
+def is_mark(name: str) -> bool:
+    """Whether a class or id names a mark and, beside it, nothing that has a meaning."""
+    parts = {x for x in re.split(r"[^a-z]+", name) if x}
+    return not parts.isdisjoint(MARKS) and parts <= MARKS | NEUTRAL
+
+
+def lines_of(page: str) -> Page:
     """The page's blocks in order. Elements that are not closed end with the element
-    around them; a cut-off tag or comment at the end is dropped."""
+    around them; a cut-off tag or comment at the end is dropped. Time is linear in the
+    page: where an open element stands is known by its name."""
     lines: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int, bool]] = []
-    linked = links = asides = containers = 0
-    inside: list[int] = []
-    groups: list[str] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    linked = links = asides = 0
+    containers, groups = Tree(), Tree()
+    inside, around = [0], [0]
+    where: dict[str, list[int]] = {}
+    fences, p_fences = [-1], [-1]
+    ahead: dict[str, re.Match | None] = {}
+
+    def next_of(pattern: re.Pattern, at: int) -> re.Match | None:
+        """The next match from `at` on, remembered until it is passed."""
+        found = ahead.get(pattern.pattern, pattern)
+        if found is pattern or found is not None and found.start() < at:
+            found = ahead[pattern.pattern] = pattern.search(page, at)
+        return found
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", "".join(parts)).strip()
             if text:
-                lines.append(Line(text, linked, asides > 0, tuple(inside), tuple(groups)))
+                lines.append(Line(text, linked, asides > 0, inside[-1], around[-1]))
             parts.clear()
         linked = 0
 
@@ -101,12 +176,17 @@ def lines_of(page: str) -> list[Line]:
         nonlocal links, asides
         while len(stack) > depth:
             name, aside, container, group = stack.pop()
+            where[name].pop()
+            if name in FENCES:
+                fences.pop()
+            if name in P_FENCES:
+                p_fences.pop()
             links -= name == "a"
             asides -= aside
             if container:
                 inside.pop()
             if group:
-                groups.pop()
+                around.pop()
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -132,42 +212,46 @@ def lines_of(page: str) -> list[Line]:
         if m["close"]:
             if name in BLOCKS:
                 end_line()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
+            if where.get(name):
+                close(where[name][-1])
             continue
         if name in BLOCKS:
             end_line()
         if name in RAW:
-            over = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
+            over = next_of(END[name], at)
             at = over.end() if over else end
             continue
+        if name in SKIPPED:
+            over, beyond = next_of(END[name], at), next_of(BEYOND, at)
+            if over and over.start() <= beyond.start():
+                at = over.end()
+            continue
         if name in VOID or m["rest"].endswith("/") and name not in BLOCKS:
             continue
+        if name in CLOSES_P and where.get("p") and where["p"][-1] > p_fences[-1]:
+            close(where["p"][-1])
         if name in IMPLIED:
-            shut = IMPLIED[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "article", "section"):
-                    break
+            nearest = max((where[x][-1] for x in IMPLIED[name] if where.get(x)), default=-1)
+            if nearest > fences[-1]:
+                close(nearest)
         aside = is_aside(name, m["rest"])
         if aside:
             end_line()
-        container = 0
-        if name in CONTAINERS and not asides:
-            containers += 1
-            container = containers
-            inside.append(container)
+        if container := name in CONTAINERS and not asides:
+            inside.append(containers.add(inside[-1], name))
         if group := name in GROUPS:
             said = CLASS.search(m["rest"])
-            groups.append(f"{name} {' '.join(sorted((said[1] or said[2] or said[3] or '').split()))}" if said else name)
+            around.append(groups.same(around[-1], f"{name} {' '.join(sorted((said[1] or said[2] or said[3] or '').split()))}" if said else name))
+        where.setdefault(name, []).append(len(stack))
+        if name in FENCES:
+            fences.append(len(stack))
+        if name in P_FENCES:
+            p_fences.append(len(stack))
         stack.append((name, aside, container, group))
         links += name == "a"
         asides += aside
     end_line()
-    return lines
+    return Page(lines, containers, groups)
 
 
 def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -189,16 +273,20 @@ def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def home(lines: list[Line], weight: np.ndarray) -> tuple[str, ...]:
-    """The innermost groups that hold more than half of the lines' weight."""
-    held: dict[tuple[str, ...], int] = {(): int(weight.sum())}
-    for x, w in zip(lines, weight):
-        for k in range(1, len(x.groups) + 1):
-            held[x.groups[:k]] = held.get(x.groups[:k], 0) + int(w)
-    return max((g for g, w in held.items() if 2 * w > held[()]), key=len)
+def summed(numbers: list[int], weight: np.ndarray) -> dict[int, int]:
+    found: dict[int, int] = {}
+    for x, w in zip(numbers, weight.tolist()):
+        found[x] = found.get(x, 0) + w
+    return found
+
+
+def home(groups: Tree, weights: dict[int, int]) -> int:
+    """The innermost group that holds more than half of the weight."""
+    total = groups.sums(weights)
+    return max((i for i, w in enumerate(total) if 2 * w > total[0]), key=lambda i: groups.depths[i])
 
 
-def main_lines(lines: list[Line]) -> list[Line]:
+def main_lines(page: Page) -> list[Line]:
     """The lines between surge and dive.
 
     Lines aside are taken out first, so that they part nothing. A line weighs its text
@@ -210,32 +298,37 @@ def main_lines(lines: list[Line]) -> list[Line]:
     (links, say) may have parted the text: it goes from the first to the last stretch
     with a line in the same kind of place as most of the certain one, and what lies
     between in such a place, however short, belongs to it; so do headings in the
-    window of a surge. Without any surge, the articles and main elements alone decide:
+    window of a surge, and short lines right before it in an element of the same kind.
+    Without any surge, the articles and main elements alone decide:
     the one with most text."""
-    lines = [x for x in lines if not x.aside]
+    lines = [x for x in page.lines if not x.aside]
     weight = np.array([max(0, len(x.text) - x.linked) for x in lines], np.int64)
     if not weight.any():
         return []
     found = stretches(weight)
     if not found:
-        marks: dict[int, int] = {}
-        for x, w in zip(lines, weight):
-            for c in x.containers[-1:]:
-                marks[c] = marks.get(c, 0) + int(w)
-        top = max(marks, key=lambda c: (marks[c], -c), default=None)
-        return [x for x in lines if top in x.containers]
+        marks = summed([x.container for x in lines], weight)
+        top = max((c for c in marks if c), key=lambda c: (marks[c], -c), default=None)
+        inside = page.containers.within({top})
+        return [x for x in lines if inside[x.container]]
     start, end = max(found, key=lambda s: (int(weight[s[0] : s[1]].sum()), -s[0]))
-    held = [x.containers for x, w in zip(lines[start:end], weight[start:end]) if w and x.containers]
-    if 2 * sum(int(w) for x, w in zip(lines[start:end], weight[start:end]) if x.containers) > int(weight[start:end].sum()):
-        common = [c for c in held[0] if all(c in h for h in held)]
-        used = {common[-1]} if common else {h[0] for h in held}
-        return [x for x in lines if used.intersection(x.containers)]
-    at = home(lines[start:end], weight[start:end])
-    own = [x.groups[: len(at)] == at for x in lines]
+    held = summed([x.container for x in lines[start:end]], weight[start:end])
+    if 2 * held.get(0, 0) < int(weight[start:end].sum()):
+        total = page.containers.sums({c: w for c, w in held.items() if c})
+        common = [c for c, w in enumerate(total) if c and w == total[0]]
+        outermost = {c for c, w in enumerate(total) if w and page.containers.depths[c] == 1}
+        inside = page.containers.within({max(common, key=lambda c: page.containers.depths[c])} if common else outermost)
+        return [x for x in lines if inside[x.container]]
+    at = home(page.groups, summed([x.group for x in lines[start:end]], weight[start:end]))
+    inside = page.groups.within({at})
+    own = [inside[x.group] for x in lines]
     parts = [(i, j) for i, j in found if any(own[k] and weight[k] for k in range(i, j))]
     first, last = min(start, parts[0][0]), max(end, parts[-1][1])
-    kept = [i for i in range(first, last) if own[i] or start <= i < end or any(a <= i < b for a, b in parts)]
-    return [lines[i] for i in kept if lines[i].linked * 2 <= len(lines[i].text)]
+    while at and page.groups.names[at] != "body" and first and own[first - 1] and weight[first - 1]:
+        first -= 1  # a heading or two that no window of the surge reaches
+    for i, j in [(start, end), *parts]:
+        own[i:j] = [True] * (j - i)
+    return [x for x, kept in zip(lines[first:last], own[first:last]) if kept and x.linked * 2 <= len(x.text)]
 
 
 def main_text(page: str | None) -> str:
