@@ -147,10 +147,34 @@ def test_batches_fill_in_order_of_key(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_grid_rounds_up_a_little(spark):
-    values = [0, 1, 255, 256, 257, 1000, 123457, 2**40 + 1]
-    got = [r.g for r in spark.createDataFrame([(v,) for v in values], "v long").select(packing.grid(F.col("v")).alias("g")).collect()]
-    assert got[:4] == values[:4] and all(v <= g <= v * (1 + 1 / 128) for v, g in zip(values, got))
+@pytest.mark.parametrize("kind,keys", [("double", [2.0, 9.0, 10.0, 100.0, -1.5]), ("string", ["doc-2", "doc-10", "doc-1", "doc", ""]), ("long", [2**62, -(2**62), 5, 2**40, 0])])
+def test_keys_of_any_kind_keep_their_order(spark, kind, keys):
+    df = spark.createDataFrame([(k, 3) for k in keys * 40], f"doc_id {kind}, length int")
+    got = sorted(packing.pack(df, budget=30).collect(), key=lambda r: (r.batch, r.slot))
+    assert [r.doc_id for r in got] == sorted(keys * 40) and [(r.batch, r.slot) for r in got] == [(i // 10, i % 10) for i in range(200)]
+
+
+def test_op2_against_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    length = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
+    values = sorted(set(length.values()))
+    counts = np.array([sum(n == v for n in length.values()) for v in values])
+    v = np.array(values)
+    waste = np.full((packing.BUCKETS + 1, len(v) + 1), np.inf)  # least padding of the first j lengths in b buckets
+    waste[:, 0] = 0
+    for b in range(1, packing.BUCKETS + 1):
+        for j in range(1, len(v) + 1):
+            waste[b, j] = min(waste[b - 1, i] + (counts[i:j] * (v[j - 1] - v[i:j])).sum() for i in range(j))
+    got = packing.op2_packing(spark, sf).collect()
+    assert {r.doc_id: r.length for r in got} == length and len(got) == len(length)
+    assert sum(r.bucket_length - r.length for r in got) == waste[packing.BUCKETS, len(v)]
+    bounds = sorted({r.bucket_length for r in got})
+    by = {}
+    for i in sorted(length):
+        by.setdefault(min(b for b in bounds if b >= length[i]), []).append(i)
+    for r in got:
+        at, fit = by[r.bucket_length].index(r.doc_id), max(1, packing.BUDGET // max(1, r.bucket_length))
+        assert (bounds.index(r.bucket_length), at // fit, at % fit) == (r.bucket, r.batch, r.slot)
 
 
 # toxicity

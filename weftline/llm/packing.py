@@ -15,19 +15,6 @@ from weftline.runtime import materialize, table
 
 #: Buckets at most, and tokens (with padding) of a batch.
 BUCKETS, BUDGET = 8, 16_384
-#: On grid(), lengths keep this many leading bits; those of up to 2^EXACT stand as they are.
-EXACT = 8
-#: Rows of one cell, the unit in which positions are counted.
-CELL = 4096
-
-
-def grid(length):
-    """A length, rounded up so that at most EXACT leading bits are used: a histogram of
-    these has under 2^(EXACT - 1) entries for each doubling, and a length grows by less
-    than one part in 2^(EXACT - 1). pack() itself uses exact lengths."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(F.greatest(length, F.lit(1)) - 1)) - EXACT)
-    unit = F.pow(F.lit(2.0), shift).cast("long")
-    return (F.ceil(length / unit) * unit).cast("long")
 
 
 def optimal(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -82,37 +69,35 @@ def pack(df: DataFrame, key: str = "doc_id", length: str = "length", buckets: in
     numbers the chosen boundaries from 0; bucket_length is what a row is padded to. A
     batch holds budget // bucket_length rows (one at least, so a row longer than the
     budget is a batch of its own; rows of a bucket of length 0 count as of length 1).
-    Rows fill batches in order of key, ties in order of length; a repeated row takes a
-    slot each time. Null keys come first. An empty table gives no rows; other columns
-    are left out.
+    Rows fill batches in order of key, as Spark orders its type, ties in order of length;
+    a repeated row takes a slot each time. Null keys come first. An empty table gives no
+    rows; other columns are left out.
 
     The histogram of exact lengths is all that reaches the driver: n different lengths
-    need n * (n - 1) / 2 tokens, so 30 GB of text have some 100,000 at most. A row's place in its
-    bucket is its place in its cell plus the rows of the cells before: cells are
-    ranges of the key's order, so no task sorts a whole bucket, and the window over
-    cells sees one row for each CELL rows."""
+    need n * (n - 1) / 2 tokens, so 30 GB of text have some 100,000 at most. Rows are
+    sorted in ranges of bucket and key, equal rows among them dealt to any; a row's place
+    in its bucket is its place in the range plus the bucket's rows in the ranges before,
+    of which there is one count for each range and bucket."""
     rows = narrow(df, key=key, length=length)
     rows = rows.withColumn("length", F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0)))
     rows = materialize(rows)
     seen = rows.groupBy("length").count().collect()
-    bounds = optimal(np.array([r.length for r in seen]), np.array([r["count"] for r in seen]), buckets)
-    if not bounds:
-        bounds = [0]
+    bounds = optimal(np.array([r.length for r in seen]), np.array([r["count"] for r in seen]), buckets) or [0]
     number = F.coalesce(*[F.when(F.col("length") <= b, F.lit(i)) for i, b in enumerate(bounds)])
     rows = rows.withColumn("bucket", number).withColumn("bucket_length", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1))
-    # A whole-number key is cut into ranges of CELL values; another kind, by its text's start.
-    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    rows = rows.withColumn("cell", F.floor(F.col("key") / CELL).cast("string") if whole else F.substring(F.col("key").cast("string"), 1, 4))
-    order = F.floor(F.col("key") / CELL) if whole else F.col("cell")
-    counts = rows.groupBy("bucket", "cell", order.alias("at")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("bucket", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("bucket", "cell").orderBy("key", "length")
-    placed = rows.withColumn("place", F.row_number().over(own) - 1)
-    joined = placed.join(starts.withColumnRenamed("bucket", "b2").withColumnRenamed("cell", "c2"), (F.col("bucket") == F.col("b2")) & F.col("cell").eqNullSafe(F.col("c2")))
+
+    order = ["bucket", "key", "length", "tie"]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    sorted_ = materialize(sorted_.drop("tie").withColumn("at", F.monotonically_increasing_id()))
+    sorted_ = sorted_.withColumns({"range": F.shiftright("at", 33).cast("int"), "inside": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = sorted_.groupBy("range", "bucket").agg(F.count("*").alias("n"), F.min("inside").alias("first"))
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("range", "bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    placed = sorted_.join(F.broadcast(starts), ["range", "bucket"])  # at most ranges + buckets rows
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
-    at = F.col("start") + F.col("place")
-    return joined.select(
+    at = F.col("start") + F.col("inside")
+    return placed.select(
         F.col("key").alias(key),
         "length",
         F.col("bucket").cast("int").alias("bucket"),
