@@ -42,6 +42,8 @@ FREQUENT = 500_000
 #: Shingles that a worker counts together, and sets among them that must share a shingle
 #: for it to be counted as frequent.
 COUNTED, LOCAL = 1 << 20, 2
+#: Bits of a hash by which a set is searched for frequent shingles.
+BEGIN = 22
 #: Rows of a list, by the count of its shingle, that one task looks at together.
 HOT = 1 << 20
 #: Rounds of hubs at most before the remaining pairs are verified one by one (a round that
@@ -135,15 +137,20 @@ class Frequent:
         self.counts = np.array([counts[h] for h in self.hashes.tolist()], np.int64)
         self.places = np.empty(len(counts), np.int64)
         self.places[np.lexsort((self.hashes, self.counts))] = np.arange(len(counts))
+        # By the first bits of a hash, whether a frequent one begins so.
+        self.begins = np.zeros(1 << BEGIN, bool)
+        self.begins[self.hashes >> np.uint64(64 - BEGIN)] = True
 
     def ordered(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A set in the global order, those not frequent first, and the counts (0 for those)."""
-        if not len(self.hashes):
+        maybe = np.flatnonzero(self.begins[found >> np.uint64(64 - BEGIN)])
+        at = np.searchsorted(self.hashes, found[maybe])
+        late = self.hashes[np.minimum(at, len(self.hashes) - 1)] == found[maybe] if len(self.hashes) else np.zeros(0, bool)
+        at, maybe = at[late], maybe[late]
+        if not len(maybe):
             return found, np.zeros(len(found), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        late = self.hashes[at] == found
-        order = np.argsort(np.where(late, self.places[at], -1), kind="stable")
-        return found[order], np.where(late, self.counts[at], 0)[order]
+        at = at[np.argsort(self.places[at])]
+        return np.concatenate([np.delete(found, maybe), self.hashes[at]]), np.concatenate([np.zeros(len(found) - len(at), np.int64), self.counts[at]])
 
 
 def signatures(found: np.ndarray, frequent: Frequent, light: int, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,18 +185,22 @@ def signatures(found: np.ndarray, frequent: Frequent, light: int, threshold: tup
 def _tally(own: list[np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
     """Of sets counted together: the shingles that LOCAL or more hold, their counts, and
     for each size the other sets that postings of its beginnings, rare first, meet."""
-    h, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    others = (n - 1)[at]
-    sizes = np.array([len(x) for x in own])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    alone = np.add.reduceat((others == 0).astype(np.int64), starts)
+    every = np.concatenate(own)
+    every.sort()
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    n = np.diff(starts, append=len(every))
+    shared = n > 1
+    h, n = every[starts[shared]], n[shared]
+    del every, starts, shared
     met: dict[int, int] = {}
-    for i in range(len(own)):
-        size = int(sizes[i])
-        k = int(beginning(size, 1, threshold))
-        if alone[i] < k:
-            part = np.sort(others[starts[i] : starts[i] + size])[:k]
-            met[size] = met.get(size, 0) + int(part.sum())
+    for found in own if len(h) else ():
+        size = len(found)
+        at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+        others = n[at[h[at] == found]] - 1
+        alone, k = size - len(others), int(beginning(size, 1, threshold))
+        if alone < k:
+            others.sort()
+            met[size] = met.get(size, 0) + int(others[: k - alone].sum())
     often = n >= LOCAL
     return h[often], n[often], met
 
