@@ -27,13 +27,16 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where nothing names one (tests on
-    one machine) a temporary folder is made and set."""
+    """The folder in spark.checkpoint.dir. Only where nothing names one and the session
+    runs on one machine, as in tests, a temporary folder is made and set; on a cluster
+    that would be a folder of the driver alone, so there it is an error."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -42,6 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends
     there, any executor can read it, and the planner knows its size."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.runtime import ship
+
 
 def read_ragged(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(source, file, row_no, cells) of each file under path, its header left out.
@@ -18,6 +20,7 @@ def read_ragged(spark: SparkSession, path: str, source: str) -> DataFrame:
     order mark is dropped; quoted fields may hold commas and line breaks. Files are
     read through Spark, from any store; as quoted line breaks forbid splitting, each
     file is one task's work. A path without files raises."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
