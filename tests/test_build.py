@@ -3,6 +3,7 @@ on random records, and invariants."""
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,41 @@ def test_written_tables_read_back(made, spark, tmp_path):
     assert build.summary(made.tables).first().persons == made.person.count()
 
 
+def test_several_files_of_a_source_keep_all_rows(spark, tmp_path):
+    for i, text in enumerate((S1, S2, S3), 1):
+        head, *lines = text.lstrip("\ufeff").splitlines(keepends=True)
+        (tmp_path / f"s{i}").mkdir()
+        for part, own in (("a", lines[: len(lines) // 2]), ("b", lines[len(lines) // 2 :]), ("c", [])):
+            (tmp_path / f"s{i}" / f"{part}.csv").write_text(head + "".join(own), encoding="utf-8", newline="")
+    raw = {f"source{i}": read_ragged(spark, f"file://{tmp_path}/s{i}/*.csv", f"source{i}") for i in (1, 2, 3)}
+    split = build.build(raw)
+    (tmp_path / "one").mkdir()
+    for i, text in enumerate((S1, S2, S3), 1):
+        (tmp_path / "one" / f"s{i}.csv").write_text(text, encoding="utf-8", newline="")
+    whole = build.build({f"source{i}": read_ragged(spark, f"file://{tmp_path}/one/s{i}.csv", f"source{i}") for i in (1, 2, 3)})
+    told = lambda made: sorted(map(str, made.person.select("full_name", "primary_email", "primary_phone", "source_count", "match_methods").collect()))
+    assert told(split) == told(whole)
+    for name in ("source_record", "person_skill", "data_issue", "match_review"):
+        assert split.tables[name].count() == whole.tables[name].count(), name
+    rows = split.tables["source_record"]
+    assert rows.count() == rows.select("source", "row_no").distinct().count()
+    assert {r.rows_before for r in split.tables["source_file"].collect()} == {0, 4}
+
+
+def test_published_outcome(spark):
+    """The published counts on the published inputs, where these are at hand."""
+    files = {f"source{i}": sorted(Path("/root").glob(f"*/data/raw/source{i}*.csv")) for i in (1, 2, 3)}
+    if not all(files.values()):
+        pytest.skip("no published inputs here")
+    made = build.build({s: read_ragged(spark, f"file://{at[0]}", s) for s, at in files.items()})
+    n = build.summary(made.tables).first()
+    assert (n.rows_read, n.rows_ingested, n.rows_skipped) == (105, 102, 3)
+    assert (n.persons, n.in_all_three, n.in_two, n.single_source) == (56, 15, 14, 27)
+    assert (n.issues, n.issue_types, n.reviews) == (308, 24, 1)
+    assert {r.match_methods: r["count"] for r in made.person.groupBy("match_methods").count().collect()} == {"single_source": 25, "email,phone": 16, "phone": 11, "name_city": 4}
+    assert {r.severity: r["count"] for r in made.tables["data_issue"].groupBy("severity").count().collect()} == {"high": 20, "medium": 28, "low": 260}
+
+
 def test_enrichment_flow(made):
     from weftline.operators import survive
 

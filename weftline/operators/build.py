@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ class Build:
 
 
 def build(raw: dict[str, DataFrame]) -> Build:
-    """All tables from raw rows (source, row_no, cells) of each source."""
+    """All tables from raw rows (source, row_no, cells) of each source. Where rows name
+    their file, row_no in the tables counts through a source's files in the order of
+    their paths, and the table source_file tells where each begins."""
     parsed = materialize(ingest.parse_all(raw))
     records = materialize(ingest.records(parsed))
     found = resolve.resolve(records)
@@ -42,6 +45,9 @@ def build(raw: dict[str, DataFrame]) -> Build:
         "data_issue": survive.issue_log(parsed, merged, found.reviews),
         "match_review": found.reviews.select("reason", "candidates", F.lit(0).alias("resolved")),
     }
+    filed = [ingest.files_of(df) for df in raw.values() if "file" in df.columns]
+    if filed:
+        made.tables["source_file"] = reduce(DataFrame.unionByName, filed)
     return made
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import fields
@@ -56,10 +56,29 @@ def _source3() -> tuple[dict[str, Column], list[Field]]:
 READERS = {"source1": _source1, "source2": _source2, "source3": _source3}
 
 
+def files_of(rows: DataFrame) -> DataFrame:
+    """(source, file, rows_before): the files of raw rows (source, file, row_no, cells) in
+    the order of their paths, and by how much a row's number in its source is more than
+    its number in its file."""
+    last = rows.groupBy("source", F.coalesce("file", F.lit("")).alias("file")).agg(F.max("row_no").alias("last"))
+    before = Window.partitionBy("source").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("source", "file", F.coalesce(F.sum("last").over(before), F.lit(0)).alias("rows_before"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(source, row_no, cells): where rows name their file, they are numbered as if a
+    source's files stood one after the other, so that a number is one row's."""
+    if "file" not in rows.columns:
+        return rows.select("source", "row_no", "cells")
+    placed = rows.withColumn("file", F.coalesce("file", F.lit(""))).join(files_of(rows), ["source", "file"])
+    return placed.select("source", (F.col("row_no") + F.col("rows_before")).alias("row_no"), "cells")
+
+
 def parse(rows: DataFrame, source: str) -> DataFrame:
-    """Raw rows (source, row_no, cells) of one source, repaired and normalised: the
-    audit columns, issues, and the record's columns (null unless ingested)."""
-    fixed_rows = repair(rows, HEADERS[source], **REPAIR[source])
+    """Raw rows (source, row_no, cells, and file where there are several) of one source,
+    repaired and normalised: the audit columns, issues, and the record's columns (null
+    unless ingested)."""
+    fixed_rows = repair(numbered(rows), HEADERS[source], **REPAIR[source])
     values, found = READERS[source]()
     read = F.col("status").isin("ingested", "rejected")
     more = F.when(read, F.concat(*[f.found() for f in found])).otherwise(F.array().cast(f"array<{fields.ISSUE}>"))

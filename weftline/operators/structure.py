@@ -3,7 +3,7 @@ columns, exact duplicates and rejects, in this order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.fields import clean, gather, is_email, issue
@@ -29,9 +29,11 @@ def repair(rows: DataFrame, header: list[str], email_at: int | None = None, name
     given and that cell without a name) or ingested. cells holds header-wide cells,
     rotated where email_at is given and an email stands elsewhere; skipped rows keep
     theirs as read. Null cells count as empty, a null row as blank. Of equal rows
-    (after repair; without case if fold_case) of a source the one with the smallest
-    row number stays. One exchange, by source and a hash of the row; of a row's
-    copies, a window keeps only the smallest number."""
+    (after repair; without case if fold_case; known by their SHA-256) of a source the
+    one with the smallest row number stays. Row numbers are those of one row. Copies are
+    counted by an aggregation that combines before it shuffles, and only digests that
+    several rows have meet the rows again, so a row repeated any number of times gathers
+    nowhere."""
     width = len(header)
     raw = F.coalesce(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), F.array().cast("array<string>"))
     rows = rows.withColumn("cells_raw", raw)
@@ -42,10 +44,11 @@ def repair(rows: DataFrame, header: list[str], email_at: int | None = None, name
     rows = rows.withColumn("padded", wide)
     rows = rows.withColumn("cells", F.when(F.col("kind") == "row", rotate(F.col("padded"), email_at) if email_at is not None else F.col("padded")).otherwise(F.col("cells_raw")))
     shown = F.transform("cells", lambda c: F.trim(c))
-    rows = rows.withColumn("digest", F.xxhash64(F.when(F.col("kind") == "row", F.array_join(F.transform(shown, F.lower) if fold_case else shown, "\x1f")).otherwise(F.concat(F.lit("row "), F.col("row_no").cast("string")))))
-    first = F.min(F.when(F.col("kind") == "row", F.col("row_no"))).over(Window.partitionBy("source", "digest"))
-    rows = rows.withColumn("first_row", first)
-    copy = (F.col("kind") == "row") & (F.col("row_no") > F.col("first_row"))
+    told = F.array_join(F.transform(shown, F.lower) if fold_case else shown, "\x1f")
+    rows = rows.withColumn("digest", F.when(F.col("kind") == "row", F.sha2(told.cast("binary"), 256)))
+    first = rows.where("digest is not null").groupBy("source", "digest").agg(F.min("row_no").alias("first_row"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    rows = rows.join(first, ["source", "digest"], "left")
+    copy = F.coalesce(F.col("row_no") > F.col("first_row"), F.lit(False))
     status = F.when(F.col("kind") != "row", "skipped").when(copy, "duplicate_row")
     if name_at is not None:
         status = status.when(clean(F.get("cells", F.lit(name_at))) == "", "rejected")
