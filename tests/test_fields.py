@@ -1,5 +1,7 @@
 """Normalisers against tables of (raw, expected)."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,19 @@ def test_names_compatible(spark):
     cases = [("R. Verma", "Rohit Verma", True), ("Rohit Verma", "Kavya Verma", False), ("Isha Chopra", "Sneha Chopra", False), ("Verma Rohit", "Rohit Verma", True), ("", "x", False), ("...", "...", False), ("Rohit Vermaa", "Rohit Verma", True)]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", fuzzy.names_compatible(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()
     assert [r.v for r in rows] == [c[2] for c in cases]
+
+
+def test_common_subsequence_by_bits():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd é", k=rng.randint(1, 70))) for _ in range(2))
+        assert 200.0 * fuzzy.common(a, b) / (len(a) + len(b)) == pytest.approx(indel(a, b))
+
+
+def test_compatible_pairs_as_the_expression(spark):
+    rng = random.Random(4)
+    first, last = ("Rohit", "Rohti", "R.", "Kavya", "", "Kavyaa", "Mr."), ("Verma", "Varma", "Vermaa", "Rao", "")
+    rows = [(i, *(f"{rng.choice(first)} {rng.choice(last)}".strip() for _ in range(2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    expected = {r.i for r in df.where(fuzzy.names_compatible(F.col("a"), F.col("b"))).collect()}
+    assert {r.i for r in fuzzy.compatible_pairs(df, "a", "b").collect()} == expected

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed
-from weftline.functions.fuzzy import names_compatible
+from weftline.functions.fuzzy import compatible_pairs
 from weftline.graph import connected_components
 from weftline.runtime import materialize
 
@@ -44,27 +44,34 @@ def with_components(records: DataFrame, links: DataFrame) -> DataFrame:
     return records.join(found, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
 
 
-def block_candidates(placed: DataFrame) -> DataFrame:
+def alike_names(placed: DataFrame) -> DataFrame:
+    """(surname, city, name, name_b): the compatible names of each block, each with
+    itself too. Distinct names are compared, and each two of them once."""
+    names = placed.where("surname <> '' and city is not null").select("surname", "city", "name").distinct()
+    two = names.join(names.withColumnRenamed("name", "name_b"), ["surname", "city"]).where("name < name_b")
+    alike = materialize(compatible_pairs(two, "name", "name_b"))
+    back = alike.select("surname", "city", F.col("name_b").alias("name"), F.col("name").alias("name_b"))
+    return alike.unionByName(back).unionByName(names.withColumn("name_b", F.col("name")))
+
+
+def block_candidates(placed: DataFrame, alike: DataFrame | None = None) -> DataFrame:
     """Pairs (a before b) of one surname and city, of different sources and components,
-    with compatible names. Distinct names are compared once for each block."""
+    with compatible names."""
+    alike = alike_names(placed) if alike is None else alike
     r = placed.where("surname <> '' and city is not null")
-    names = r.select("surname", "city", "name").distinct()
-    other = names.withColumnRenamed("name", "name_b")
-    alike = materialize(names.join(other, ["surname", "city"]).where((F.col("name") == F.col("name_b")) | names_compatible(F.col("name"), F.col("name_b"))))
     left = r.select("surname", "city", "name", F.col("ord").alias("a"), F.col("source").alias("source_a"), F.col("component").alias("comp_a"))
     right = r.select("surname", "city", F.col("name").alias("name_b"), F.col("ord").alias("b"), F.col("source").alias("source_b"), F.col("component").alias("comp_b"))
     pairs = left.join(alike, ["surname", "city", "name"]).join(right, ["surname", "city", "name_b"])
     return pairs.where("a < b and source_a <> source_b and comp_a <> comp_b")
 
 
-def ambiguous_names(placed: DataFrame) -> DataFrame:
+def ambiguous_names(placed: DataFrame, alike: DataFrame | None = None) -> DataFrame:
     """(surname, city, name, appears): names that several records of one source in the
     block are compatible with; appears tells how often in which source."""
+    alike = alike_names(placed) if alike is None else alike
     r = placed.where("surname <> '' and city is not null")
-    held = r.groupBy("surname", "city", "name", "source").agg(F.count("*").alias("n"))
-    asked = held.select("surname", "city", "name").distinct()
-    pairs = asked.join(held.withColumnRenamed("name", "name_b"), ["surname", "city"]).where((F.col("name") == F.col("name_b")) | names_compatible(F.col("name_b"), F.col("name")))
-    per = pairs.groupBy("surname", "city", "name", "source").agg(F.sum("n").alias("n"))
+    held = r.groupBy("surname", "city", F.col("name").alias("name_b"), "source").agg(F.count("*").alias("n"))
+    per = alike.join(held, ["surname", "city", "name_b"]).groupBy("surname", "city", "name", "source").agg(F.sum("n").alias("n"))
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit("x in "), x["source"])), ", ")
     return per.groupBy("surname", "city", "name").agg(shown.alias("appears"), F.max("n").alias("most")).where("most > 1").drop("most")
 
@@ -116,7 +123,8 @@ def resolve(records: DataFrame) -> Resolution:
     strong = materialize(key_links(records, "ekey", "email").unionByName(key_links(records, "pkey", "phone")))
     placed = materialize(with_components(records, strong))
     blocks = placed.where("surname <> '' and city is not null").groupBy("surname", "city").agg(F.min("ord").alias("block"))
-    pairs = block_candidates(placed).join(ambiguous_names(placed), ["surname", "city", "name"], "left").join(blocks, ["surname", "city"])
+    alike = alike_names(placed)
+    pairs = block_candidates(placed, alike).join(ambiguous_names(placed, alike), ["surname", "city", "name"], "left").join(blocks, ["surname", "city"])
     reason = F.when(F.col("appears").isNotNull(), F.concat(F.lit("ambiguous: '"), F.col("name"), F.lit("' in "), F.col("city"), F.lit(" stands "), F.col("appears")))
     pairs = materialize(pairs.select("a", "b", "comp_a", "comp_b", reason.alias("reason"), "surname", "city", "block"))
     groups = connected_components(pairs, "comp_a", "comp_b").withColumnsRenamed({"node": "b", "component": "group"})

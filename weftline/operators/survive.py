@@ -107,18 +107,17 @@ def skill_rows(members: DataFrame) -> DataFrame:
 def skills(members: DataFrame) -> DataFrame:
     """(skill_id, name): numbered as first seen, person by person."""
     first = skill_rows(members).groupBy("skill").agg(F.min(F.struct("component", "ord", "at")).alias("first"))
-    # One row for each skill of the vocabulary, some dozens.
-    return first.select(F.row_number().over(Window.orderBy("first")).cast("bigint").alias("skill_id"), F.col("skill").alias("name"))
+    return dense_ids(first, "first", "skill_id").select(F.col("skill_id").cast("bigint").alias("skill_id"), F.col("skill").alias("name"))
 
 
 def person_skill(members: DataFrame, person: DataFrame, known: DataFrame) -> DataFrame:
     rows = skill_rows(members).select("component", "skill", "source").distinct()
-    return rows.join(person.select("component", "person_id"), "component").join(F.broadcast(known.withColumnRenamed("name", "skill")), "skill").select("person_id", "skill_id", "source")
+    return rows.join(person.select("component", "person_id"), "component").join(known.withColumnRenamed("name", "skill"), "skill").select("person_id", "skill_id", "source")
 
 
 def person_full(person: DataFrame, person_skills: DataFrame, known: DataFrame) -> DataFrame:
     """Persons with their skills' names, each once, in order."""
-    names = person_skills.join(F.broadcast(known), "skill_id").select("person_id", "name").distinct()
+    names = person_skills.join(known, "skill_id").select("person_id", "name").distinct()
     listed = names.groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("skills"))
     return person.join(listed, "person_id", "left")
 
