@@ -4,9 +4,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions import audio, fixed
-from weftline.sources.audio import decode, read_wav, uploads
+from weftline.sources.audio import decode, read_wav, received, uploads
 from weftline.streaming.submissions import landing, run_available
 
 RATE = 44_100
@@ -110,3 +111,25 @@ def test_stream_of_uploads(spark, files, tmp_path):
     seen = []
     run_available(landing(spark, f"file://{files}"), lambda df, n: seen.extend(r.sha256 for r in df.select("sha256").collect()), f"file://{tmp_path}/state").awaitTermination()
     assert len(seen) == len(set(seen)) == 5
+
+
+def test_refused_uploads_say_why(spark, files):
+    got = {r.path.rsplit("/", 1)[1]: r for r in received(spark, f"file://{files}").collect()}
+    assert {n: r.refused for n, r in got.items() if r.refused} == {"skip.txt": "kind"}
+    assert all((r.content is None) == (r.refused is not None) == (r.sha256 is None) for r in got.values())
+
+
+def test_flatness_of_known_spectra(spark):
+    rng = np.random.default_rng(5)
+    t = np.arange(RATE // 4) / RATE
+    signals = {"tone": np.sin(2 * np.pi * 440 * t), "noise": rng.normal(size=len(t)) * 0.1}
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in signals.items()], "name string, signal array<double>")
+    got = {r.name: r.flat for r in df.select("name", audio.spectral_flatness("signal", F.lit(1024)).alias("flat")).collect()}
+    assert got["tone"] < 0.05 < 0.4 < got["noise"] <= 1
+    for name, x in signals.items():  # frame by frame, from the definition
+        x, ratios = np.concatenate([np.zeros(512), x, np.zeros(512)]), []
+        window = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / 1024) for i in range(1024)])
+        for at in range(0, len(x) - 1023, 512):
+            power = np.maximum(np.abs(np.fft.rfft(x[at : at + 1024] * window)) ** 2, 1e-10)
+            ratios.append(np.exp(np.log(power).mean()) / power.mean())
+        assert got[name] == pytest.approx(np.mean(ratios))

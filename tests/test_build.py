@@ -1,6 +1,7 @@
 """Repair, resolution and survivorship: fixtures with planted traps, a sequential model
 on random records, and invariants."""
 
+import json
 import random
 from itertools import combinations
 from pathlib import Path
@@ -264,3 +265,30 @@ def test_empty_sources(spark):
     assert build.build(none).person.count() == 0
     nulls = spark.createDataFrame([("source3", 2, None), ("source3", 3, [None, None]), ("source3", 4, ["A B", None])], "source string, row_no long, cells array<string>")
     assert [r.status for r in ingest.parse(nulls, "source3").orderBy("row_no").collect()] == ["skipped", "skipped", "ingested"]
+
+
+def test_people_from_json_are_tagged_and_counted(spark, tmp_path):
+    from weftline.sources.people import read_people, read_people_lines
+
+    people = [{"person_id": 1, "full_name": "A", "skills": "sql, pandas, python"}, {"person_id": 2, "full_name": "B", "skills": None}, {"person_id": 3, "skills": "react", "skill_category": "web-dev"}, {"full_name": "nobody"}, {"person_id": 4, "skills": "knitting", "more": 1}]
+    (tmp_path / "list.json").write_text(json.dumps(people))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, people)) + "\nnot json\n")
+    for read, name in ((read_people, "list.json"), (read_people_lines, "lines.json")):
+        got = read(spark, f"file://{tmp_path}/{name}")
+        assert sorted(r.person_id for r in got.collect()) == [1, 2, 3, 4]
+        updates, rest, counts = enrich.tag_all(got)
+        assert [r.person_id for r in updates.collect()] == [1] and sorted(r.person_id for r in rest.collect()) == [2, 4]
+        assert tuple(counts.first()) == (1, 2)
+    answer = lambda df: df.select("person_id", F.lit("data").alias("category"), (F.col("person_id") / 4).alias("confidence"))
+    assert tuple(enrich.tag_all(got, answer, least=0.5)[2].first()) == (2, 1)
+
+
+def test_appended_batches_are_there_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "submission_id int, sha256 string")
+    serve.append(df, f"file://{tmp_path}/all")
+    serve.append(df, f"file://{tmp_path}/all")
+    assert spark.read.parquet(f"file://{tmp_path}/all").count() == 4
+    each = serve.append_batch(f"file://{tmp_path}/stream")
+    for number in (0, 1, 1):
+        each(df, number)
+    assert spark.read.parquet(f"file://{tmp_path}/stream").count() == 4

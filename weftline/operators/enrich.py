@@ -56,3 +56,19 @@ def enrich(people: DataFrame, model: Callable[[DataFrame], DataFrame] | None = N
     batch = people.where("skill_category is null and skills is not null").orderBy("person_id").limit(limit)
     good, rest = split(validate(answers(batch, model), least))
     return good, rest, good.agg(F.lit(True).alias("ok"), F.count("*").alias("tagged"), F.lit("weftline").alias("source"))
+
+
+def tag_all(people: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, limit: int = 200, least: float = fixed.SHARE_FLOOR, by: str = "rules") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(updates, left for review, counts): untagged people through the classifier, those
+    below `least` left for review. updates (person_id, skill_category, confidence,
+    tagged_by) are what serve.accepted_categories() takes, once given their time; counts
+    has one row (written, skipped). People without skills are answered too."""
+    batch = people.where("skill_category is null").orderBy("person_id").limit(limit)
+    if model is None:
+        category, share = classify(F.col("skills"))
+        found = batch.select("person_id", category.alias("category"), share.alias("confidence"))
+    else:
+        found = model(batch)
+    enough = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    updates = found.where(enough).select("person_id", F.col("category").alias("skill_category"), "confidence", F.lit(by).alias("tagged_by"))
+    return updates, found.where(~enough), found.agg(F.count_if(enough).alias("written"), F.count_if(~enough).alias("skipped"))

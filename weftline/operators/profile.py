@@ -61,6 +61,12 @@ def repeated_keys(all_keys: DataFrame) -> DataFrame:
     return all_keys.groupBy("source", "kind", "key").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")).where("n > 1")
 
 
+def repeated_members(all_keys: DataFrame) -> DataFrame:
+    """(source, kind, key, row_no): every row of the keys that several rows of a source
+    have, one row each, so that a key of any number of rows gathers nowhere."""
+    return all_keys.join(repeated_keys(all_keys).select("source", "kind", "key"), ["source", "kind", "key"], "left_semi")
+
+
 def overlaps(all_keys: DataFrame) -> DataFrame:
     """(kind, sources, n): distinct keys by the sources that have them."""
     held = all_keys.select("kind", "key", "source").distinct().groupBy("kind", "key").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))

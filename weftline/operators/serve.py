@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,18 @@ def match_check(probes: DataFrame, person: DataFrame, emails: DataFrame, phones:
     else by its name without case. Keys are joined as they stand, so no scan of
     patterns is needed."""
     p = probes.select("probe_id", fields.email_key(F.col("email")).alias("e"), fields.phone_key(F.col("phone")).alias("p"), F.nullif(F.lower(F.trim("name")), F.lit("")).alias("n"))
-    tiers = [
-        p.join(emails.select(F.lower("email").alias("e"), "person_id").distinct(), "e").select("probe_id", "person_id", F.lit(1).alias("tier"), F.lit("email").alias("matched_on")),
-        p.join(phones.select(fields.phone_key(F.col("phone")).alias("p"), "person_id").distinct(), "p").select("probe_id", "person_id", F.lit(2).alias("tier"), F.lit("phone").alias("matched_on")),
-        p.join(person.select(F.lower("full_name").alias("n"), "person_id"), "n").select("probe_id", "person_id", F.lit(3).alias("tier"), F.lit("name").alias("matched_on")),
+    keys = [
+        ("e", "email", emails.select(F.lower("email").alias("e"), "person_id").distinct()),
+        ("p", "phone", phones.select(fields.phone_key(F.col("phone")).alias("p"), "person_id").distinct()),
+        ("n", "name", person.select(F.lower("full_name").alias("n"), "person_id")),
     ]
-    hits = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    best = hits.groupBy("probe_id").agg(F.min("tier").alias("tier"))
+    hits = None
+    for key, told, held in keys:  # a probe goes on to the next key only where it found nobody
+        asked = p if hits is None else p.join(hits, "probe_id", "left_anti")
+        found = asked.join(held, key).select("probe_id", "person_id", F.lit(told).alias("matched_on"))
+        hits = found if hits is None else hits.unionByName(found)
     conf = fields.lookup({k: str(v) for k, v in fixed.CHECK_CONFIDENCE.items()}, F.col("matched_on")).cast("double")
-    return hits.join(best, ["probe_id", "tier"]).select("probe_id", "person_id", "matched_on", conf.alias("confidence"))
+    return hits.select("probe_id", "person_id", "matched_on", conf.alias("confidence"))
 
 
 def resolve_submitters(submissions: DataFrame, phones: DataFrame) -> DataFrame:
@@ -72,6 +77,21 @@ def submit(properties: DataFrame, forms: DataFrame, phones: DataFrame, person: D
     return new_people(resolved, person)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Submissions or persons to add, behind those that are there, in a file of their own."""
+    df.write.mode("append").parquet(path)
+
+
+def append_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for a stream: each batch in its own place, so that one that is repeated
+    after a failure takes the place of what it wrote before."""
+
+    def each(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each
+
+
 def duplicate_uploads(submissions: DataFrame) -> DataFrame:
     """(submission_id, duplicate_of): uploads whose bytes an earlier one had."""
     first = submissions.groupBy("sha256").agg(F.min("submission_id").alias("duplicate_of"))

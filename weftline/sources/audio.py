@@ -11,17 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed
+from weftline.runtime import ship
 
 DECODED = "path string, sha256 string, file_size_bytes long, codec string, channels int, container_rate int, container_duration double, sample_rate int, signal array<float>"
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, file_size_bytes, sha256) of files of an accepted kind and size:
-    not empty, at most 25 MiB."""
+def received(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, file_size_bytes, sha256, refused) of every file under path. refused
+    is null for a file of an accepted kind and size, else `kind` or `size` (over 25 MiB);
+    only accepted files keep their content and digest. Spark lists no empty files."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    files = files.where(kind.isin(*fixed.UPLOAD_SUFFIXES) & (F.col("length") > 0) & (F.col("length") <= fixed.UPLOAD_BYTES))
-    return files.select("path", "content", F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("sha256"))
+    refused = F.when(~kind.isin(*fixed.UPLOAD_SUFFIXES), "kind").when(F.col("length") > fixed.UPLOAD_BYTES, "size")
+    content = F.when(refused.isNull(), F.col("content"))
+    return files.select("path", content.alias("content"), F.col("length").alias("file_size_bytes"), F.sha2(content, 256).alias("sha256"), refused.alias("refused"))
+
+
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """received() files that are accepted: (path, content, file_size_bytes, sha256)."""
+    return received(spark, path).where("refused is null").drop("refused")
 
 
 def read_wav(data: bytes) -> tuple[str | None, int | None, int | None, float | None, np.ndarray | None]:

@@ -22,6 +22,7 @@ def landing(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
 
 def events_per_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of an event stream (ts, event_type, value) by minute and kind."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark wants a time with a zone
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
