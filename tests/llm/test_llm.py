@@ -673,6 +673,26 @@ def test_boundary_follows_cost():
     assert ngram_join.boundary({}, {}) == 0
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op1_top_k", "op4_chat_formatting", "op5_embedding_dedup", "op10_ngram_join"])
+def test_query_against_its_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    from weftline.llm import queries
+
+    assert name in queries.ORACLE_SQL
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    expected = c.execute(queries.ORACLE_SQL[name])
+    columns = sorted(x[0] for x in expected.description)
+    told = [dict(zip([x[0] for x in expected.description], r)) for r in expected.fetchall()]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == columns
+    assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == sorted(tuple(r[x] for x in columns) for r in told)
+
+
 # pipeline
 
 

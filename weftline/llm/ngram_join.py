@@ -500,3 +500,25 @@ def _links(lists: DataFrame, light: int, threshold: tuple[int, int], verified: C
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five words, similarity 0.75 or more."""
     return link_sets(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive said as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from said
+), members as materialized (select doc_id, len(s) as n, unnest(s) as x from sets
+), links as materialized (
+  select a.doc_id as a, b.doc_id as b from members a join members b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach as (
+  select doc_id as node, doc_id as root from sets
+  union
+  select l.b, r.root from reach r join links l on l.a = r.node where r.root < l.b
+)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, min(r.root) as component_id
+from sets d join reach r on r.node = d.doc_id group by d.doc_id, len(d.s)
+"""

@@ -4,7 +4,7 @@ from weftline.llm.bpe import op6_bpe
 from weftline.llm.chat import OP4_SQL, op4_chat_formatting
 from weftline.llm.html_text import op7_html_extraction
 from weftline.llm.langid import op9_language_id
-from weftline.llm.ngram_join import op10_ngram_join
+from weftline.llm.ngram_join import OP10_SQL, op10_ngram_join
 from weftline.llm.packing import op2_packing
 from weftline.llm.pivots import OP5_SQL, op5_embedding_dedup
 from weftline.llm.topk import OP1_SQL, op1_top_k
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL = {"op1_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_top_k": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_ngram_join": OP10_SQL}
