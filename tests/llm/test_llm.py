@@ -279,11 +279,13 @@ def test_chat_reads_back(spark):
     for c in range(40):
         for t in range(rng.randint(1, 6)):
             rows.append((c, t, rng.choice(("user", "assistant", "system", "od\nd<", None)), None if rng.random() < 0.1 else "".join(rng.choices(bits, k=rng.randint(0, 12)))))
-    rows.append((99, 0, "assistant", "long " * 50000))
-    df = spark.createDataFrame(rows, "conv_id int, seq int, role string, text string").withColumns({"kind": F.lit("message"), "msg_id": F.col("seq")})
-    done = chat.render(chat.fold(df)).select("conv", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    rows += [(99, 0, "assistant", "long " * 50000), (98, None, "user", "no turn"), (98, 1, "user", "one"), (97, 1, "user", "twice"), (97, 1, "user", "twice")]
+    df = spark.createDataFrame(rows, "conv_id int, seq int, role string, text string").withColumns({"kind": F.lit("message"), "msg_id": F.monotonically_increasing_id()})
+    done = chat.render(chat.fold(df)).select("conv", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), "loss_spans")
     for r in done.collect():
-        told = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == r.conv), key=lambda x: x[1])]
+        raw = r.formatted.encode()
+        assert [r.formatted[s.begin : s.begin + s.length] for s in r.loss_spans] == [raw[s["at"] : s["at"] + s["bytes"]].decode() for s in r.loss_spans]
+        told = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == r.conv), key=lambda x: -1 if x[1] is None else x[1])]
         assert [(t.role, t.text) for t in r.turns] == told
         assert r.loss == "".join(t for role, t in told if role == "assistant")
 

@@ -74,15 +74,19 @@ def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
     """(conv, n_turns, formatted, loss_spans) from fold()'s messages.
 
     formatted holds, for each message, OPEN role line-break text CLOSE, with role and
-    text escaped. loss_spans are (begin, length) in code points of formatted, from 0:
-    the escaped text of each message whose role is trained, and nothing else.
+    text escaped. loss_spans are (begin, length) in code points of formatted, from 0, and
+    (at, bytes) the same in its UTF-8: the escaped text of each message whose role is
+    trained, and nothing else. Null conversations are one, null roles and texts (which
+    fold() does not make) leave a message out of formatted; messages of one position
+    come in order of their text. No messages give no rows; other columns are left out.
     A conversation is one row of the result, so one row holds its text; nothing
     larger than one conversation is gathered."""
-    m = messages.withColumns({"head": F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit("\n")), "body": escape(F.col("text"))})
+    m = narrow(messages, conv="conv", position="position", role="role", text="text").withColumns({"head": F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit("\n")), "body": escape(F.col("text"))})
     m = m.withColumn("turn", F.concat("head", "body", F.lit(CLOSE)))
     before = Window.partitionBy("conv").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("begin", F.coalesce(F.sum(F.char_length("turn")).over(before), F.lit(0)) + F.char_length("head"))
-    span = F.when(F.col("role").isin(*trained), F.struct(F.col("begin").cast("long").alias("begin"), F.char_length("body").alias("length")))
+    for name, size in (("begin", F.char_length), ("at", F.octet_length)):
+        m = m.withColumn(name, (F.coalesce(F.sum(size("turn")).over(before), F.lit(0)) + size("head")).cast("long"))
+    span = F.when(F.col("role").isin(*trained), F.struct("begin", F.char_length("body").alias("length"), "at", F.octet_length("body").alias("bytes")))
     rows = m.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("position", "turn", span.alias("span")))).alias("rows"))
     return rows.select(
         "conv",
@@ -93,7 +97,8 @@ def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>>: render()'s turns, read back from its output."""
+    """array<struct<role, text>>: render()'s turns, read back from its output. Null gives
+    null, an empty string no turns."""
     turns = F.filter(F.split(formatted, "<\\|end\\|>"), lambda x: x != "")
     inner = F.transform(turns, lambda x: F.substring(x, F.lit(len(OPEN) + 1), F.char_length(x)))
     cut = F.transform(inner, lambda x: F.struct(x.alias("all"), F.instr(x, F.lit("\n")).alias("at")))
@@ -107,8 +112,11 @@ def parse(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, spans: Column) -> Column:
-    """The unescaped text under a loss mask, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["begin"] + 1).cast("int"), s["length"]))), "")
+    """The unescaped text under a loss mask, in order, nothing between; null where either
+    is null, empty where no span is. Cut by bytes, as a place in them is found at once,
+    while code points are counted from the start."""
+    raw = formatted.cast("binary")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(raw, (s["at"] + 1).cast("int"), s["bytes"]).cast("string"))), "")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +149,9 @@ with told as (
     replace(replace(replace(replace(role, '\\', '\\e'), '<', '\\l'), '[', '\\b'), chr(10), '\\n') as head from told
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(8 + length(head) + 1 + length(body) + 7) as bigint) as formatted_chars
 from coded group by conv_id
 """
