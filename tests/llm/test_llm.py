@@ -731,3 +731,33 @@ def test_pipeline_against_its_parts(spark, sf):
     first = corpus_pipeline.STAGES[0][1](spark, docs, sf)
     assert first.columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def test_pipeline_of_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, repeated rows, clashing column names, and no rows at all."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(9001, None, None, None, None), (None, "the cat", "en", "s", 7), (9002, "", "en", "s", 0), (9003, "12 34", None, None, 5), (None, None, None, None, None)]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    more = more.unionByName(docs.limit(3)).unionByName(docs.limit(3))
+    clash = {c: F.lit(i) for i, c in enumerate(("score", "key", "row", "name", "bucket", "length", "same", "lang_pred", "component_id"))}
+    docs.unionByName(more).withColumns(clash).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").unionByName(spark.createDataFrame([(None, None, None), (9001, None, 1)], spark.read.parquet(f"{sf}/labels.parquet").schema)).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+    got = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()]
+    assert len([i for i in got if i is not None]) == len({i for i in got if i is not None}) and not {9001, 9002, 9003} & set(got)
+    assert plain - set(got) == set() or len(plain ^ {i for i in got if i is not None}) <= 2  # what was learnt differs a little
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_language_ties_and_repeated_rows(spark):
+    rows = [(1, "ab ab", "xx"), (2, "ab ab", "aa")]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    once = langid.fit(df.dropDuplicates(), "doc_id", "text", "lang")
+    assert model.languages == once.languages == ["aa", "xx"] and (model.logs == once.logs).all() and (model.prior == once.prior).all()
+    got = langid.identify(df, model).collect()
+    assert len(got) == 6 and {(r.lang_pred, round(r.score, 6)) for r in got} == {("aa", 0.5)}
